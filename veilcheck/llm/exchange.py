@@ -111,7 +111,7 @@ def with_notes(notes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     kind = docs.schema["id"].dataType
     left = notes.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(kind).alias("id"), F.col("payload").alias("body"))
     right = docs.select(key_part_sql(F.col("k"), parts).alias("part"), F.lit(1).alias("kind"), "k", "id", "body")
-    return left.unionByName(right).repartition(parts, F.col("part")).sortWithinPartitions("part", "kind")
+    return left.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
 
 
 def read_with_notes(batches, most: int = 1 << 20):
@@ -139,7 +139,7 @@ def read_with_notes(batches, most: int = 1 << 20):
 
 
 def deal(packed: DataFrame, parts: int) -> DataFrame:
-    return packed.repartition(parts, F.col("part"))
+    return packed.repartitionById(parts, F.col("part"))
 
 
 def by_part(batches):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 
 import numpy as np
@@ -20,16 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from . import kernels as K
 from .common import keyed, type_of
 
 GROUP_PIECES = 200_000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 250_000
-
-_SIMPLE = re.compile("[\\x00-\\x7FÀ-ÿ]*")
-#: The tokenizer's own pattern for lower-case letters of the simple range. Fixed value.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\t-\\r a-zß-öø-ÿ0-9]+")
-
+REMEMBERED = 500_000
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -37,22 +32,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """A code for each piece of text, in the order in which they come."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of a byte, and its kind: 0 white space, 1 letter, 2 digit, 3 other; bytes from 0x80 are the letters U+00C0 to U+00FF."""
+    low, kind = np.arange(256, dtype=np.uint8), np.full(256, 3, np.uint8)
+    low[65:91] += 32
+    low[0x80:0x9F] += 32
+    low[0x97] = 0x97
+    kind[[32, *range(9, 14)]] = 0
+    kind[97:123] = kind[65:91] = 1
+    kind[0x80:0xC0] = 1
+    kind[[0x97, 0xB7]] = 3
+    kind[48:58] = 2
+    return low, kind
+
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = code = len(self)
-        return code
+def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts and ends of the pieces, simple documents) of a slice.
+
+    The tokenizer's pattern is a contraction ('s 't 're 've 'm 'll 'd), a run of
+    letters, one digit, or a run of anything else but white space. That is
+    found here for ASCII and the letters U+00C0 to U+00FF, whose first byte is
+    0xC3; a document with any other character is not simple.
+    """
+    low_of, kind_of = _tables()
+    n = len(data)
+    before = np.concatenate([data[:1] * 0, data[:-1]])
+    lead = data == 0xC3
+    second = (data >= 0x80) & (data < 0xC0)
+    odd = np.concatenate([[0], np.cumsum((data >= 0x80) & ~lead & ~(second & (before == 0xC3)))])
+    simple = odd[offs[1:]] == odd[offs[:-1]]
+    low = np.where(second & (before == 0xC3), low_of[data], np.where(data < 0x80, low_of[data], data))
+    kind = kind_of[low]
+    at = np.flatnonzero(lead[:-1])
+    kind[at] = kind[at + 1]
+    first = np.ones(n, bool)
+    first[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == 2))
+    first[offs[:-1][offs[:-1] < n]] = True
+    # contractions: an apostrophe that begins a run takes letters that follow
+    quote = np.flatnonzero((data == 39) & first)
+    if len(quote):
+        end = offs[np.searchsorted(offs, quote, "right")]
+        padded = np.concatenate([low, np.zeros(3, np.uint8)])
+        one, two = padded[quote + 1], padded[quote + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (quote + 1 < end)
+        long = (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)) & (quote + 2 < end)
+        for which, size in ((short, 2), (long, 3)):
+            q = quote[which]
+            first[q + 1] = False
+            after = q + size
+            inside = after < end[which]
+            first[after[inside]] |= kind[after[inside]] == 1
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    word = kind[starts] != 0
+    return low, starts[word], ends[word], simple
 
 
 class Ids:
     """Ids of texts by a tokenizer that splits a text into pieces and encodes each alone.
 
     Such a tokenizer gives a piece the same ids wherever it stands, so each
-    distinct piece is encoded once. That holds for texts of ASCII and the
-    accented letters of Latin-1, which normalising changes in case only, and
-    without the tokenizer's special strings; any other text goes to the
-    tokenizer as it is.
+    distinct piece is encoded once. Documents that pieces() calls simple, and
+    that hold none of the tokenizer's special strings, are put together from
+    their pieces' ids; any other goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -60,20 +102,20 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_piece = "word_bpe" in os.path.basename(path)
         self.forget()
 
     def forget(self):
-        self.words = Words()
+        self.codes: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of the new pieces, the last of words."""
-        known = len(self.words) - len(pieces)
-        for lo in range(0, len(pieces), 2000):
-            some = pieces[lo : lo + 2000]
+    def learn(self, texts: list[str]) -> None:
+        """Ids of new pieces, for the next codes."""
+        known = len(self.codes)
+        for lo in range(0, len(texts), 2000):
+            some = texts[lo : lo + 2000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
             if len(counts) != len(some):
@@ -88,23 +130,44 @@ class Ids:
             self.used += len(got.ids)
             known += len(some)
 
-    def of(self, text: str) -> np.ndarray:
-        if not self.by_piece or not _SIMPLE.fullmatch(text) or "<|" in text and any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.words) > REMEMBERED:
-            self.forget()
-        known = len(self.words)
-        pieces = _PIECE.findall(text.lower())
-        codes = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
-        if len(self.words) > known:
-            new = [""] * (len(self.words) - known)
-            for piece, code in zip(pieces, codes.tolist(), strict=True):
-                if code >= known:
-                    new[code - known] = piece
-            self.learn(new)
-        sizes = self.sizes[codes]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    def of(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """The ids of each document of a slice."""
+        n = len(offs) - 1
+        whole = data.tobytes()
+        simple = np.zeros(n, bool)
+        if self.by_piece and n:
+            low, starts, ends, simple = pieces(data, offs)
+            if any(x in whole for x in self.special):
+                simple &= np.array([not any(x in whole[offs[d] : offs[d + 1]] for x in self.special) for d in range(n)])
+        out: list = [None] * n
+        if simple.any():
+            if len(self.codes) > REMEMBERED:
+                self.forget()
+            firsts = np.searchsorted(starts, offs)
+            mine = np.repeat(simple, np.diff(firsts))
+            hashes = K.ranges_hash(K.prefix(low), starts, ends)
+            own, where, inverse = np.unique(hashes[mine], return_index=True, return_inverse=True)
+            codes = list(map(self.codes.get, own.tolist()))
+            new = [i for i, c in enumerate(codes) if c is None]
+            if new:
+                place = np.flatnonzero(mine)[where[new]]
+                text = low.tobytes()
+                self.learn([text[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+                known = len(self.codes)
+                for j, i in enumerate(new):
+                    codes[i] = known + j
+                self.codes.update(zip(own[new].tolist(), range(known, known + len(new)), strict=True))
+            code = np.array(codes, np.int64)[inverse]
+            sizes = self.sizes[code]
+            after = np.cumsum(sizes)
+            ids = self.ids[np.repeat(self.starts[code] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+            edges = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(np.where(simple, np.diff(firsts), 0))])]
+            for d in np.flatnonzero(simple):
+                out[d] = ids[edges[d] : edges[d + 1]]
+        for d in np.flatnonzero(~simple):
+            text = whole[offs[d] : offs[d + 1]].decode(errors="replace")
+            out[d] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _ids: dict[str, Ids] = {}
@@ -125,8 +188,9 @@ def tokenise(path: str, most: int, groups: int):
                 group = (np.arange(turn, turn + n) % groups).astype(np.int32)
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(group)], names=["id", "piece", "start", "length", "ids_crc32", "bin_group"])
 
-            for i, body in enumerate(batch.column(1)):
-                own = np.append(ids.of(body.as_py().decode(errors="replace")), np.uint32(0)).astype("<u4")
+            every = ((lo + d, x) for lo, _, data, offs in K.slices(batch.column(1).cast(pa.large_binary()).cast(pa.large_string())) for d, x in enumerate(ids.of(data, offs)))
+            for i, found in every:
+                own = np.append(found, np.uint32(0)).astype("<u4")
                 for p, at in enumerate(range(0, len(own), most)):
                     part = own[at : at + most]
                     row.append(i)

@@ -7,11 +7,15 @@ n - ceil(t n) + 1 of either (the prefix), so documents meet on prefix n-grams
 only. Pairs that meet pass a length, a positional and a suffix filter before
 their whole sets are compared, once.
 
-Equal sets are one class and meet as one. Where many classes meet at one
-n-gram, stars go first: one class is compared with the others, and those that
-prove linked are one component. Only classes of different components are then
-compared with each other, so a large group of near copies takes a number of
-comparisons in proportion to its size, and no link between components is lost.
+Equal sets are one class and meet as one. Classes that meet at an n-gram of
+few classes are paired there and then, and each pair counts its n-grams: with
+all prefix n-grams that two classes share known, what is left of the longer
+set bounds their intersection, which few pairs pass but near copies. Where
+many classes meet, stars go first: one class is compared with the others, and
+those that prove linked are one component. Only classes of different
+components are then compared with each other, so a large group of near copies
+takes a number of comparisons in proportion to its size, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +33,10 @@ from .common import keyed, settled, type_of
 from .components import components
 
 #: Buckets of the frequency table that orders n-grams: its size, and what is broadcast, does not follow the data.
-BUCKETS = 1 << 18
-_SEGMENTS = 16
+BUCKETS = 1 << 21
+_SEGMENTS = 32
+#: An n-gram that at most so many classes share pairs them at once; others go by stars.
+FEW = 24
 #: Rounds of stars before all pairs of different components.
 STARS = 3
 #: Row keys of this many documents at most are broadcast (16 bytes each); more are joined by a shuffle.
@@ -61,7 +68,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int):
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> K.U(46)).astype(np.int64) % BUCKETS
+    return (hashes >> K.U(43)).astype(np.int64) % BUCKETS
 
 
 def ordered(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -88,9 +95,10 @@ def survey(size: int):
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays([keys[lo:hi], ids[lo:hi], pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["k", "id", "s", "n", "sketch", "segment", "counts"])
         if counts.any():
+            pressed = zstandard.ZstdCompressor(level=1)
             parts = counts.reshape(_SEGMENTS, -1)
             none = pa.nulls(_SEGMENTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(_SEGMENTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "id", "s", "n", "sketch", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(_SEGMENTS), pa.int32()), pa.array([pressed.compress(p.tobytes()) for p in parts], pa.binary())], names=["k", "id", "s", "n", "sketch", "segment", "counts"])
 
     return run
 
@@ -100,9 +108,10 @@ def ranks_of(surveyed: DataFrame) -> np.ndarray:
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
+        loose = zstandard.ZstdDecompressor()
         for batch in batches:
             for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[s] = total.get(s, 0) + np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
+                total[s] = total.get(s, 0) + np.frombuffer(loose.decompress(x.as_py()), np.uint32).astype(np.int64)
         for s, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["segment", "counts"])
 
@@ -142,26 +151,56 @@ def send_prefixes(parts: int, size: int, percent: int, table):
     return run
 
 
-def meet(batches):
-    """A mapInArrow function over dealt prefixes: the entries of n-grams that two classes or more share."""
-    for blobs in X.by_part(batches):
-        found = [X.unpack(b) for b in blobs]
-        classes = np.concatenate([np.repeat(x[0], x[1]) for x in found])
-        token, n, place = (np.concatenate([x[i] for x in found]) for i in (2, 3, 4))
-        del found, blobs
-        order = np.lexsort((classes, token))
-        token, classes, n, place = token[order], classes[order], n[order], place[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (classes[1:] != classes[:-1])
-        token, classes, n, place = token[fresh], classes[fresh], n[fresh], place[fresh]
-        shared = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        at = np.flatnonzero(shared)
-        for lo in range(0, len(at), 1 << 16):
-            x = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(token[x].view(np.int64)), pa.array(classes[x]), pa.array(n[x].astype(np.int64)), pa.array(place[x].astype(np.int64))], names=["t", "s", "n", "place"])
+def meet(few: int):
+    """A mapInArrow function over dealt prefixes.
+
+    Pairs of the classes that share an n-gram with at most `few` (t null): how
+    many such n-grams of this part the pair shares, and the sizes. Of n-grams
+    that more classes share, an entry for each class (t is the n-gram, a the
+    class, a_n its size, shared its place).
+    """
+    names = ["t", "a", "b", "a_n", "b_n", "shared"]
+
+    def run(batches):
+        for blobs in X.by_part(batches):
+            found = [X.unpack(b) for b in blobs]
+            classes = np.concatenate([np.repeat(x[0], x[1]) for x in found])
+            token, n, place = (np.concatenate([x[i] for x in found]) for i in (2, 3, 4))
+            del found, blobs
+            order = np.lexsort((classes, token))
+            token, classes, n, place = token[order], classes[order], n[order].astype(np.int64), place[order].astype(np.int64)
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (classes[1:] != classes[:-1])
+            token, classes, n, place = token[fresh], classes[fresh], n[fresh], place[fresh]
+            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(token)))
+            run_of = np.repeat(np.arange(len(begin)), size)
+            at = np.flatnonzero(size[run_of] > few) if len(token) else begin
+            for lo in range(0, len(at), 1 << 16):
+                x = at[lo : lo + (1 << 16)]
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(token[x].view(np.int64)), pa.array(classes[x]), none, pa.array(n[x]), none, pa.array(place[x])], names=names)
+            # pairs at distance d within the runs that have so many
+            left, right = [], []
+            for d in range(1, few):
+                i = np.flatnonzero((size[run_of] <= few) & (size[run_of] > d)) if len(token) else begin
+                i = i[i - begin[run_of[i]] + d < size[run_of[i]]]
+                if not len(i):
+                    break
+                left.append(i)
+                right.append(i + d)
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                order = np.lexsort((classes[j], classes[i]))
+                i, j = i[order], j[order]
+                a, b = classes[i], classes[j]
+                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                shared = np.diff(np.append(first, len(a)))
+                for lo in range(0, len(first), 1 << 16):
+                    x = first[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(a[x]), pa.array(b[x]), pa.array(n[i[x]]), pa.array(n[j[x]]), pa.array(shared[lo : lo + (1 << 16)])], names=names)
+
+    return run
 
 
 def passes(percent: int):
@@ -229,12 +268,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = spark.sparkContext.broadcast(ranks_of(surveyed))
 
     prefixes = rows.select("k", "body").mapInArrow(send_prefixes(parts, size, percent, table), X.PACKED)
-    met = settled(X.deal(prefixes, parts).mapInArrow(meet, "t long, s long, n long, place long"), "met")
-
-    chosen = classes.join(met.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", "sketch"), "k").alias("x")).select("s", "x.*")
+    met = settled(X.deal(prefixes, parts).mapInArrow(meet(FEW), "t long, a long, b long, a_n long, b_n long, shared long"), "met")
+    crowd = met.where("t is not null").select("t", F.col("a").alias("s"), F.col("a_n").alias("n"), F.col("shared").alias("place"))
+    crowded = crowd.select("s").distinct()
+    # a pair's count is whole unless both meet in a crowd too
+    counted = met.where("t is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    for side in "ab":
+        counted = counted.join(crowded.select(F.col("s").alias(side), F.lit(True).alias(f"{side}_in")), side, "left")
+    total, longest = F.col("a_n") + F.col("b_n"), F.greatest("a_n", "b_n")
+    rest = F.ceil(longest * percent / 100) - 1
+    enough = (F.col("shared") + rest) * (100 + percent) >= total * percent
+    unsure = F.coalesce(F.col("a_in") & F.col("b_in"), F.lit(False))
+    direct = settled(counted.where((F.least("a_n", "b_n") * 100 >= longest * percent) & (enough | unsure)).select("a", "b", "a_n", "b_n"), "direct")
+
+    possible = direct.select(F.col("a").alias("s")).unionByName(direct.select(F.col("b").alias("s"))).unionByName(crowded).distinct()
+    chosen = classes.join(possible, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", "sketch"), "k").alias("x")).select("s", "x.*")
     chosen = settled(chosen, "chosen")
+    n_chosen = chosen.count()
     wanted = chosen.select("k")
-    if chosen.count() <= BROADCAST_KEYS:
+    if n_chosen <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
 
     def whole(batches):
@@ -245,7 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], names=["s", "elements"])
 
-    sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary").dropDuplicates(["s"]), "sets")
+    sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary"), "sets")
+    if sets.count() > n_chosen:  # equal rows
+        sets = settled(sets.dropDuplicates(["s"]), "sets")
     narrow = chosen.select("s", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -256,33 +310,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(sets.select(F.col("s").alias(side), F.col("elements").alias(f"{side}_set")), side)
         return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare(percent), "a long, b long")
 
+    def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Pairs whose classes are not known to be of one component."""
+        if labels is None:
+            return pairs
+        for side in "ab":
+            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l")), side, "left")
+        return pairs.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "a_n", "b_n")
+
     def pair(left: DataFrame, right: DataFrame, more) -> DataFrame:
         """Distinct pairs, with sizes, that pass the filters; left and right hold (t, s, n, place, label)."""
         l, r = (d.select("t", *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label"))) for d, side in ((left, "a"), (right, "b")))
         both = l.join(r, "t").where(more).where(passes(percent))
         return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), (F.col("a_n") + F.col("b_n")).alias("total"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
-    labels = None
-    edges = None
-    tried = None
+    labels = edges = tried = None
+    has_crowd = bool(crowd.head(1))
     for turn in range(STARS + 1):
-        now = met.withColumn("label", F.col("s")) if labels is None else met.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
-        spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        if turn < STARS:
-            # the hub of an n-gram: the class of the least mixed hash, another one each round
-            order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label")
-            hub = now.groupBy("t").agg(F.min(order).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "h.*")
-            pairs = pair(hub, now, F.col("a_label") != F.col("b_label"))
-        else:
-            open_ = now.join(spread.where("low <> high").select("t"), "t", "left_semi")
-            pairs = pair(open_, open_, (F.col("a_label") != F.col("b_label")) & (F.col("a_s") < F.col("b_s")))
+        pairs = None
+        if turn < 2:  # of the direct pairs first one for each class, then those that are still apart
+            least = direct.groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n"), "a").alias("x"))
+            pairs = least.select("x.a", "b", "x.a_n", "x.b_n") if turn == 0 else apart(direct, labels)
+        if has_crowd:
+            now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
+            if turn < STARS:
+                # the hub of an n-gram: the class of the least mixed hash, another one each round
+                order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label")
+                hub = now.groupBy("t").agg(F.min(order).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "h.*")
+                more = pair(hub, now, F.col("a_label") != F.col("b_label"))
+            else:
+                spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
+                open_ = now.join(spread, "t", "left_semi")
+                more = pair(open_, open_, (F.col("a_label") != F.col("b_label")) & (F.col("a_s") < F.col("b_s")))
+            pairs = more if pairs is None else pairs.unionByName(more).dropDuplicates(["a", "b"])
+        if pairs is None:
+            break
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settled(pairs, "pairs")
         if not pairs.head(1):
-            if turn < STARS:
-                continue
-            break
+            continue
         found = settled(linked(pairs), "links")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         edges = found if edges is None else edges.unionByName(found)

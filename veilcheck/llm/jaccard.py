@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import keyed, settled, type_of
+from .common import keyed, row_key, settled, type_of
 from .components import components
 
 #: Buckets of the frequency table that orders n-grams: its size, and what is broadcast, does not follow the data.
@@ -240,18 +240,8 @@ def compare(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Components of documents whose n-gram sets have a Jaccard similarity of `percent` / 100 or more.
-
-    Returns (id, n_shingles, component_id): component_id is the smallest id
-    that can be reached over links, the document's own included. A-Z is
-    lower-cased; texts of fewer than `size` words have all their words as one
-    n-gram. Null and empty texts, and texts of white space, have no n-gram, link
-    with nothing and are their own component. Equal rows link as any equal
-    texts. Null ids take part; a component of nulls alone has a null id. Other
-    columns are ignored; an empty table gives an empty one. Sets are of 64-bit
-    hashes.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(k, id, n, c): each document's row key, id, number of n-grams and component, a class; documents without n-grams share classes but are no component."""
     spark = docs.sparkSession
     parts, kind = X.parts_of(spark), type_of(docs, id_col)
     rows = keyed(docs, id_col, text_col)
@@ -360,7 +350,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = classes.join(labels.select(F.col("node").alias("s"), "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
     else:
         named = classes.withColumn("c", F.col("s"))
+    return named.select("k", "id", "n", "c")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """Components of documents whose n-gram sets have a Jaccard similarity of `percent` / 100 or more.
+
+    Returns (id, n_shingles, component_id): component_id is the smallest id
+    that can be reached over links, the document's own included. A-Z is
+    lower-cased; texts of fewer than `size` words have all their words as one
+    n-gram. Null and empty texts, and texts of white space, have no n-gram, link
+    with nothing and are their own component. Equal rows link as any equal
+    texts. Null ids take part; a component of nulls alone has a null id. Other
+    columns are ignored; an empty table gives an empty one. Sets are of 64-bit
+    hashes.
+    """
+    named = grouped(docs, id_col, text_col, size, percent)
     some = named.where("n > 0")
     least = some.groupBy("c").agg(F.min("id").alias("least"))
     out = some.join(least, "c").select("id", "n", "least").unionByName(named.where("n = 0").select("id", "n", F.col("id").alias("least")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each component of near_duplicates(), that of the smallest id (and key, if ids repeat); rows without n-grams all stay. A null id counts as the largest."""
+    named = settled(grouped(docs, id_col, text_col, size, percent), "grouped")
+    first = named.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("x"))
+    keys = first.select("x.k").unionByName(named.where("n = 0").select("k").distinct())
+    key = row_key(id_col, text_col)
+    kept = docs.join(keys.withColumnRenamed("k", "__row_key"), key == F.col("__row_key"), "left_semi")
+    repeats = named.where("n > 0").groupBy("k").count().where("count > 1").select("k")
+    if not repeats.head(1):
+        return kept
+    # equal rows with n-grams: one of each key stays
+    twice = repeats.withColumnRenamed("k", "__row_key")
+    one = kept.join(twice, key == F.col("__row_key"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, key == F.col("__row_key"), "left_anti").unionByName(one)

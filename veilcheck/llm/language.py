@@ -130,6 +130,22 @@ def train(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col:
     return fit(picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect())
 
 
+def named(texts: pa.Array, model):
+    """(first row, end row, languages, probabilities) of each slice of a column of texts."""
+    languages, table = model
+    bias, step = table[-1], (1 << BITS) + 1
+    for lo, hi, data, offs in K.slices(texts):
+        buckets, firsts = features(data, offs)
+        total = bias + sum(mean_weight(b, firsts, table[o * step : (o + 1) * step], BITS) for o, b in enumerate(buckets))
+        p = softmax(total)
+        best = p.argmax(axis=1)
+        low = data | 0x20
+        letter = K.sums_by((low >= 97) & (low <= 122) & (data < 0x80), offs) > 0
+        for d in np.flatnonzero(~letter):
+            letter[d] = any(c.isalpha() for c in data[offs[d] : offs[d + 1]].tobytes().decode(errors="replace"))
+        yield lo, hi, [languages[b] if ok else "und" for b, ok in zip(best, letter, strict=True)], np.where(letter, p[np.arange(hi - lo), best], 0.0)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None) -> DataFrame:
     """The language of every whole text: (id, lang_pred, score).
 
@@ -150,25 +166,29 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches):
-        languages, table = shared.value
-        bias, step = table[-1], (1 << BITS) + 1
         for batch in batches:
-            for lo, hi, data, offs in K.slices(batch.column(1)):
-                buckets, firsts = features(data, offs)
-                total = bias + sum(mean_weight(b, firsts, table[o * step : (o + 1) * step], BITS) for o, b in enumerate(buckets))
-                p = softmax(total)
-                best = p.argmax(axis=1)
-                low = data | 0x20
-                letter = K.sums_by((low >= 97) & (low <= 122), offs) > 0
-                for d in np.flatnonzero(~letter):
-                    letter[d] = any(c.isalpha() for c in data[offs[d] : offs[d + 1]].tobytes().decode(errors="replace"))
-                names = [languages[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
-                score = np.where(letter, p[np.arange(hi - lo), best], 0.0)
+            for lo, hi, names, score in named(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     return rows.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text identify() names a language for with a probability of `least` or more; none without rows to learn from."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(train(docs, F.lit(True), id_col, text_col, lang_col))
+    place = docs.columns.index(text_col)
+
+    def keep(batches):
+        if shared.value is not None:
+            for batch in batches:
+                for lo, hi, names, score in named(batch.column(place), shared.value):
+                    good = [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
+                    yield batch.slice(lo, hi - lo).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """identify() that learns from rows whose crc32 of the id as text is not 2 modulo 4; held_out tells the others. A null id is learned from by no model and held out by none."""
     out = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

@@ -122,6 +122,15 @@ class Notes:
         return self.hashes[lo:hi]
 
 
+def stretches(text: bytes, starts: np.ndarray, ends: np.ndarray, stay: np.ndarray):
+    """The pieces of a text that hold runs of words that stay; the whole text if all do."""
+    if stay.all():
+        return [text]
+    first = np.flatnonzero(stay & ~np.r_[False, stay[:-1]])
+    last = np.flatnonzero(stay & ~np.r_[stay[1:], False])
+    return [text[starts[i] : ends[j]] for i, j in zip(first, last, strict=True)]
+
+
 def digest(parts) -> str:
     return hashlib.sha256(b" ".join(parts)).hexdigest()
 
@@ -129,9 +138,10 @@ def digest(parts) -> str:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, keep_text: bool = False) -> DataFrame:
     """Words that lie in a window of `width` words whose sequence also starts anywhere else.
 
-    Returns (id, n_words, n_removed, kept_sha256[, kept]): kept is the words
-    left, joined by one space, or null where nothing was removed and the text
-    itself stays; the digest is always of the joined words. Windows are judged
+    Returns (id, n_words, n_removed, kept_sha256[, kept]): kept is what is left
+    of the text, each cut closed by a line feed, and the text itself where
+    nothing was removed; the digest is of the words left, joined by one space.
+    Windows are judged
     on the input. Null and empty texts have no word, remove nothing and give
     the digest of nothing. Equal rows are two
     documents: each repeats the other. A null id is an id like any other. Other
@@ -170,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if not len(hit):
                         raw = data[offs[d] : offs[d + 1]].tobytes()
                         shas.append(digest(raw.split()))
-                        texts.append(None)
+                        texts.append(raw if keep_text else None)
                         spans.append(None)
                         continue
                     n = n_words[d]
@@ -219,11 +229,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if removed[-1]:
                         left = [left[i] for i in np.flatnonzero(~gone)]
                     shas.append(digest(left))
-                    kept.append(b" ".join(left) if removed[-1] and keep_text else None)
+                    kept.append(b"\n".join(stretches(raw, starts[a:b] - offs[d], ends[a:b] - offs[d], ~gone)) if keep_text else None)
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(np.diff(firsts), pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     done = X.with_notes(notes2, suspects.select("k", "id", "body"), parts).mapInArrow(cut_out, final_schema)
-    clean = tried.where(F.col("spans").isNull()).select("id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("binary").alias("kept"))
+    clean = tried.where(F.col("spans").isNull()).select("id", "n_words", "n_removed", "kept_sha256", F.col("body").alias("kept"))
     out = clean.unionByName(done)
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
     return out.select(*columns, F.col("kept").cast("string").alias("kept")) if keep_text else out.select(*columns)

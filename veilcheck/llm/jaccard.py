@@ -37,6 +37,9 @@ BUCKETS = 1 << 21
 _SEGMENTS = 32
 #: An n-gram that at most so many classes share pairs them at once; others go by stars.
 FEW = 24
+#: Longs of a sketch. A power of two.
+SKETCH = 8
+_SKETCH = [f"q{i}" for i in range(SKETCH)]
 #: Rounds of stars before all pairs of different components.
 STARS = 3
 #: Row keys of this many documents at most are broadcast (16 bytes each); more are joined by a shuffle.
@@ -76,14 +79,20 @@ def ordered(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((ranks[bucket(hashes)].astype(K.U) << K.U(54)) | (hashes & K.U((1 << 54) - 1)))
 
 
-def sketch(tokens: np.ndarray) -> int:
-    """Eight counts, modulo 256, of the elements in eight parts of the universe."""
-    return int(np.frombuffer(np.bincount((tokens & K.U(7)).astype(np.int64), minlength=8).astype(np.uint8).tobytes(), np.int64)[0])
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Whether the set has an odd number of elements in each of SKETCH * 64 parts of the universe, as SKETCH longs.
+
+    Two sketches differ in no more bits than the sets in elements.
+    """
+    odd = np.bincount((tokens & K.U(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def survey(size: int):
     """A mapInArrow function over (k, id, body): the class and size of each document, and the task's n-gram counts by bucket."""
 
+    names = ["k", "id", "s", "n", *_SKETCH, "segment", "counts"]
+
     def run(batches):
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
@@ -93,12 +102,12 @@ def survey(size: int):
                 counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
                 classes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([keys[lo:hi], ids[lo:hi], pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["k", "id", "s", "n", "sketch", "segment", "counts"])
+                yield pa.RecordBatch.from_arrays([keys[lo:hi], ids[lo:hi], pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.stack([sketch(s) for s in sets]).T.copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             pressed = zstandard.ZstdCompressor(level=1)
             parts = counts.reshape(_SEGMENTS, -1)
-            none = pa.nulls(_SEGMENTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(_SEGMENTS), pa.int32()), pa.array([pressed.compress(p.tobytes()) for p in parts], pa.binary())], names=["k", "id", "s", "n", "sketch", "segment", "counts"])
+            none = [pa.nulls(_SEGMENTS, pa.int64())] * (4 + SKETCH)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(_SEGMENTS), pa.int32()), pa.array([pressed.compress(p.tobytes()) for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -211,15 +220,8 @@ def passes(percent: int):
 
 
 def suffix_passes(percent: int):
-    """The suffix filter: elements of the eight parts that cannot match leave too few."""
-
-    def part(side: str, i: int):
-        return F.shiftright(F.col(f"{side}_sketch"), 8 * i).bitwiseAND(F.lit(255))
-
-    apart = F.lit(0)
-    for i in range(8):
-        gap = F.abs(part("a", i) - part("b", i))
-        apart = apart + F.least(gap, F.lit(256) - gap)
+    """The suffix filter: the sketches of classes a and b differ in no more bits than two sets so similar may in elements."""
+    apart = sum((F.bit_count(F.col(f"a_{q}").bitwiseXOR(F.col(f"b_{q}"))) for q in _SKETCH), F.lit(0))
     total = F.col("a_n") + F.col("b_n")
     return (total - apart) * (100 + percent) >= F.lit(2 * percent) * total
 
@@ -253,8 +255,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    surveyed = settled(rows.mapInArrow(typed, f"k long, id {kind}, s long, n long, sketch long, segment int, counts binary"), "classes")
-    classes = surveyed.where("segment is null").select("k", "id", "s", "n", "sketch")
+    surveyed = settled(rows.mapInArrow(typed, f"k long, id {kind}, s long, n long, {", ".join(f"{q} long" for q in _SKETCH)}, segment int, counts binary"), "classes")
+    classes = surveyed.where("segment is null").select("k", "id", "s", "n", *_SKETCH)
     table = spark.sparkContext.broadcast(ranks_of(surveyed))
 
     prefixes = rows.select("k", "body").mapInArrow(send_prefixes(parts, size, percent, table), X.PACKED)
@@ -272,7 +274,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     direct = settled(counted.where((F.least("a_n", "b_n") * 100 >= longest * percent) & (enough | unsure)).select("a", "b", "a_n", "b_n"), "direct")
 
     possible = direct.select(F.col("a").alias("s")).unionByName(direct.select(F.col("b").alias("s"))).unionByName(crowded).distinct()
-    chosen = classes.join(possible, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", "sketch"), "k").alias("x")).select("s", "x.*")
+    chosen = classes.join(possible, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", *_SKETCH), "k").alias("x")).select("s", "x.*")
     chosen = settled(chosen, "chosen")
     n_chosen = chosen.count()
     wanted = chosen.select("k")
@@ -290,12 +292,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary"), "sets")
     if sets.count() > n_chosen:  # equal rows
         sets = settled(sets.dropDuplicates(["s"]), "sets")
-    narrow = chosen.select("s", "sketch")
+    narrow = settled(chosen.select("s", *_SKETCH), "sketches")
+
+    def sketched(d: DataFrame, side: str, key: str | None = None) -> DataFrame:
+        return d.join(narrow.select(F.col("s").alias(key or side), *(F.col(q).alias(f"{side}_{q}" if key is None else q) for q in _SKETCH)), key or side)
+
+    direct = settled(sketched(sketched(direct, "a"), "b").where(suffix_passes(percent)).select("a", "b", "a_n", "b_n"), "alike")
+    crowd = settled(sketched(crowd, "", "s"), "crowd")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(narrow.select(F.col("s").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
-        pairs = pairs.where(suffix_passes(percent)).select("a", "b")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("s").alias(side), F.col("elements").alias(f"{side}_set")), side)
         return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare(percent), "a long, b long")
@@ -310,8 +315,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
     def pair(left: DataFrame, right: DataFrame, more) -> DataFrame:
         """Distinct pairs, with sizes, that pass the filters; left and right hold (t, s, n, place, label)."""
-        l, r = (d.select("t", *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label"))) for d, side in ((left, "a"), (right, "b")))
-        both = l.join(r, "t").where(more).where(passes(percent))
+        l, r = (d.select("t", *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label", *_SKETCH))) for d, side in ((left, "a"), (right, "b")))
+        both = l.join(r, "t").where(more & passes(percent) & suffix_passes(percent))
         return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), (F.col("a_n") + F.col("b_n")).alias("total"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
     labels = edges = tried = None
@@ -324,10 +329,13 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         if has_crowd:
             now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
             if turn < STARS:
-                # the hub of an n-gram: the class of the least mixed hash, another one each round
-                order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label")
-                hub = now.groupBy("t").agg(F.min(order).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "h.*")
-                more = pair(hub, now, F.col("a_label") != F.col("b_label"))
+                # each class goes with one of its n-grams, near copies mostly with the same; the hub of an
+                # n-gram is its class of the least mixed hash; both are others in the next round
+                row = F.struct("t", "n", "place", "label", *_SKETCH)
+                own = now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*")
+                order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label", *_SKETCH)
+                hub = own.groupBy("t").agg(F.min(order).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "h.*")
+                more = pair(hub, own, F.col("a_label") != F.col("b_label"))
             else:
                 spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
                 open_ = now.join(spread, "t", "left_semi")

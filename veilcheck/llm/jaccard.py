@@ -38,10 +38,10 @@ _SEGMENTS = 32
 #: An n-gram that at most so many classes share pairs them at once; others go by stars.
 FEW = 24
 #: Longs of a sketch. A power of two.
-SKETCH = 8
+SKETCH = 16
 _SKETCH = [f"q{i}" for i in range(SKETCH)]
-#: Rounds of stars before all pairs of different components.
-STARS = 3
+#: Rounds of stars at most before all pairs of different components, and the hubs of a star.
+STARS, HUBS = 5, 16
 #: Row keys of this many documents at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 
@@ -216,7 +216,10 @@ def passes(percent: int):
     """The length and positional filters for classes a and b that meet at an n-gram."""
     least, most, total = F.least("a_n", "b_n"), F.greatest("a_n", "b_n"), F.col("a_n") + F.col("b_n")
     bound = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    return (least * 100 >= most * percent) & (bound * (100 + percent) >= total * percent)
+    # a pair also meets on the shorter prefix that the smaller set needs against sets no smaller
+    first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_s") < F.col("b_s")))
+    early = F.when(first, F.col("a_place")).otherwise(F.col("b_place")) * (100 + percent) <= least * (100 - percent)
+    return (least * 100 >= most * percent) & (bound * (100 + percent) >= total * percent) & early
 
 
 def suffix_passes(percent: int):
@@ -313,10 +316,16 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
             pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l")), side, "left")
         return pairs.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "a_n", "b_n")
 
-    def pair(left: DataFrame, right: DataFrame, more) -> DataFrame:
+    def least_of(rows_: DataFrame, order) -> DataFrame:
+        """(t, h): the least row of each of HUBS parts of an n-gram's classes."""
+        salted = rows_.groupBy("t", F.pmod(F.xxhash64("s", F.lit("hub")), F.lit(HUBS)).alias("salt")).agg(F.min(order).alias("h"))
+        return salted.select("t", "h")
+
+    def pair(left: DataFrame, right: DataFrame, more, whole: bool = True) -> DataFrame:
         """Distinct pairs, with sizes, that pass the filters; left and right hold (t, s, n, place, label)."""
         l, r = (d.select("t", *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label", *_SKETCH))) for d, side in ((left, "a"), (right, "b")))
-        both = l.join(r, "t").where(more & passes(percent) & suffix_passes(percent))
+        # a star's meeting is by chance: only whole joins may ask for a place in the prefix
+        both = l.join(r, "t").where(more & (passes(percent) if whole else F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & suffix_passes(percent))
         return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), (F.col("a_n") + F.col("b_n")).alias("total"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
     labels = edges = tried = None
@@ -329,13 +338,14 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         if has_crowd:
             now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
             if turn < STARS:
-                # each class goes with one of its n-grams, near copies mostly with the same; the hub of an
-                # n-gram is its class of the least mixed hash; both are others in the next round
+                # each class goes with one of its n-grams, near copies mostly with the same; the hubs of an
+                # n-gram are its classes of the least mixed hashes; both are others in the next round
                 row = F.struct("t", "n", "place", "label", *_SKETCH)
                 own = now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*")
                 order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label", *_SKETCH)
-                hub = own.groupBy("t").agg(F.min(order).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "h.*")
-                more = pair(hub, own, F.col("a_label") != F.col("b_label"))
+                spread = own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
+                hub = least_of(own.join(spread, "t", "left_semi"), order).select("t", "h.*")
+                more = pair(hub, own, F.col("a_label") != F.col("b_label"), whole=False)
             else:
                 spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
                 open_ = now.join(spread, "t", "left_semi")

@@ -96,8 +96,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     schema = "file string, text string, reason string, refusal string"
     out = spark.createDataFrame(shut, schema)
     if open_:
-        # names come back as URIs; those asked for are joined by the decoded path
-        files = decoded(spark.read.format("binaryFile").load([_escaped(p) for p in open_]).select(F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("file"), "content"))
+        files = decoded(spark.read.format("binaryFile").load([_escaped(p) for p in open_]).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content"))
         out = files.select("file", "text", "reason", "refusal").unionByName(out)
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, mixing, neighbours, packing, quality, substrings, suffixes, urls
+from . import chat, jaccard, language, mixing, neighbours, oracle, packing, quality, substrings, suffixes, urls
 from .common import read
 
 
@@ -68,4 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.oracle(),
     "op5_url_filters": urls.oracle(),
+    "op7_ngram_jaccard": oracle.OP7,
+    "op8_substring_dedup": oracle.OP8,
 }

@@ -11,8 +11,13 @@ from pyspark.sql import SparkSession
 
 _done: set[str] = set()
 
+#: The bytes of an Arrow batch, where a session leaves Spark's default of 64 MB: batches of whole texts would else take hundreds of MB in each worker.
+_BATCH, _DEFAULT, _OURS = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
+
 
 def ship(spark: SparkSession) -> SparkSession:
+    if spark.conf.get(_BATCH).rstrip("b") == _DEFAULT:
+        spark.conf.set(_BATCH, _OURS)
     context = spark.sparkContext
     if context.applicationId in _done:
         return spark

@@ -40,7 +40,7 @@ def hazards(docs: DataFrame, *keep: str, text_col: str = "text", kinds=KINDS) ->
 
 
 def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS) -> DataFrame:
-    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset."""
+    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset. Windows go by the id, so each id has one text."""
     text = F.col(text_col)
     pieces = docs.where(text.rlike(hazard_class(*kinds))).select(F.col(id_col).alias("id"), F.posexplode(F.split(text, f"(?<={hazard_class(*kinds)})")).alias("pos", "piece"))
     before = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,8 +107,17 @@ def with_notes(notes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """Packed notes and the documents they are about, by part, notes first: (part, kind 0 or 1, k, id, body).
 
     docs: (k, id, body binary). One shuffle brings both together; a reader
-    holds the notes of one part and streams the documents.
+    holds the notes of one part and streams the documents. Bodies travel
+    compressed, as they are most of what is shuffled.
     """
+
+    def press(batches):
+        pressed = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            bodies = pa.array([pressed.compress(x.as_py()) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], names=["k", "id", "body"])
+
+    docs = docs.select("k", "id", "body").mapInArrow(press, docs.select("k", "id", "body").schema)
     kind = docs.schema["id"].dataType
     left = notes.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(kind).alias("id"), F.col("payload").alias("body"))
     right = docs.select(key_part_sql(F.col("k"), parts).alias("part"), F.lit(1).alias("kind"), "k", "id", "body")
@@ -116,11 +126,11 @@ def with_notes(notes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
 
 def read_with_notes(batches, most: int = 1 << 20):
     """(notes' payloads of the part, k, ids, bodies) for runs of documents of one part, about `most` bytes each."""
-    part, notes = None, []
+    part, notes, loose = None, [], zstandard.ZstdDecompressor()
     for batch in batches:
         parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         edges = np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(parts)], strict=True):
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(parts)], strict=True):
             if lo == hi:
                 continue
             if parts[lo] != part:
@@ -128,13 +138,13 @@ def read_with_notes(batches, most: int = 1 << 20):
             if kinds[lo] == 0:
                 notes.extend(x.as_py() for x in batch.column(4)[lo:hi])
                 continue
-            body = batch.column(4)[lo:hi].cast(pa.large_binary())
-            sizes = np.cumsum(np.diff(np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]))
-            at = 0
-            while at < hi - lo:
-                base = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
-                yield notes, batch.column(2)[lo + at : lo + end].to_numpy(), batch.column(3)[lo + at : lo + end], body[at:end]
+            at = lo
+            while at < hi:
+                bodies, size, end = [], 0, at
+                while end < hi and (size < most or not bodies):
+                    bodies.append(loose.decompress(batch.column(4)[end].as_py()))
+                    size, end = size + len(bodies[-1]), end + 1
+                yield notes, batch.column(2)[at:end].to_numpy(), batch.column(3)[at:end], pa.array(bodies, pa.large_binary())
                 at = end
 
 

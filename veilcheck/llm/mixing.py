@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, settled
 
 #: Documents of a source that share a row of drawing lots, about; larger sources are salted into more rows.
 ROW_OF_LOTS = 5000
+#: Targets of so many sources at most are broadcast, a few dozen bytes each; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str) -> Column:
@@ -55,8 +57,9 @@ def allot(sized: DataFrame, weights: tuple[int, ...], most: int, share: float, s
     more, from a seeded start. So takes of all sizes come evenly, and the words
     taken come nearer to the target than with a draw for each document.
     """
-    plan = targets(sized.select("source", "size"), weights, most, share)
-    # one row a source; AQE broadcasts it if it is small and else joins by shuffle
+    plan = settled(targets(sized.select("source", "size"), weights, most, share), "targets")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     rows = sized.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     lot = number(F.col("id"), F.col("size"), F.lit(seed))

@@ -40,10 +40,8 @@ FEW = 24
 #: Longs of a sketch. A power of two.
 SKETCH = 16
 _SKETCH = [f"q{i}" for i in range(SKETCH)]
-#: Rounds of stars at most before all pairs of different components, and the hubs of a star.
-STARS, HUBS = 5, 16
-#: Stars end early when no more pairs are left, n-gram by n-gram, than so many for each entry of a crowd.
-OPEN = 16
+#: Rounds of stars before all pairs of different components, and the hubs of a star.
+STARS, HUBS = 2, 32
 #: Row keys of this many documents at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 
@@ -303,7 +301,6 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         return d.join(narrow.select(F.col("s").alias(key or side), *(F.col(q).alias(f"{side}_{q}" if key is None else q) for q in _SKETCH)), key or side)
 
     direct = settled(sketched(sketched(direct, "a"), "b").where(suffix_passes(percent)).select("a", "b", "a_n", "b_n"), "alike")
-    crowd = settled(sketched(crowd, "", "s"), "crowd")
 
     def linked(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -318,11 +315,6 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
             pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l")), side, "left")
         return pairs.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "a_n", "b_n")
 
-    def crossing(now: DataFrame) -> int:
-        """Pairs of different components that meet, counted at each n-gram."""
-        sizes = now.groupBy("t", "label").count().groupBy("t").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("x"))
-        return (sizes.agg(F.sum("x")).first()[0] or 0) // 2
-
     def least_of(rows_: DataFrame, order) -> DataFrame:
         """(t, h): the least row of each of HUBS parts of an n-gram's classes."""
         salted = rows_.groupBy("t", F.pmod(F.xxhash64("s", F.lit("hub")), F.lit(HUBS)).alias("salt")).agg(F.min(order).alias("h"))
@@ -336,28 +328,26 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), (F.col("a_n") + F.col("b_n")).alias("total"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
     labels = edges = tried = None
-    n_crowd = crowd.count()
-    last = False
+    has_crowd = bool(crowd.head(1))
     for turn in range(STARS + 1):
         pairs = None
         if turn < 2:  # of the direct pairs first one for each class, then those that are still apart
             least = direct.groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n"), "a").alias("x"))
             pairs = least.select("x.a", "b", "x.a_n", "x.b_n") if turn == 0 else apart(direct, labels)
-        if n_crowd:
+        if has_crowd:
             now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
-            last = turn == STARS or turn > 0 and crossing(now) <= OPEN * n_crowd
-            if not last:
+            if turn < STARS:
                 # each class goes with one of its n-grams, near copies mostly with the same; the hubs of an
                 # n-gram are its classes of the least mixed hashes; both are others in the next round
-                row = F.struct("t", "n", "place", "label", *_SKETCH)
-                own = now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*")
+                row = F.struct("t", "n", "place", "label")
+                own = sketched(now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*"), "", "s")
                 order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label", *_SKETCH)
                 spread = own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
                 hub = least_of(own.join(spread, "t", "left_semi"), order).select("t", "h.*")
                 more = pair(hub, own, F.col("a_label") != F.col("b_label"), whole=False)
             else:
                 spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
-                open_ = now.join(spread, "t", "left_semi")
+                open_ = sketched(now.join(spread, "t", "left_semi"), "", "s")
                 more = pair(open_, open_, (F.col("a_label") != F.col("b_label")) & (F.col("a_s") < F.col("b_s")))
             pairs = more if pairs is None else pairs.unionByName(more).dropDuplicates(["a", "b"])
         if pairs is None:
@@ -366,15 +356,11 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settled(pairs, "pairs")
         if not pairs.head(1):
-            if last:
-                break
             continue
         found = settled(linked(pairs), "links")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
-        if last:
-            break
 
     named = classes
     if labels is not None:

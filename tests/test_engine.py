@@ -106,8 +106,10 @@ def test_walk_and_read(spark, tmp_path):
         files.collect([str(tmp_path / "none")])
     got = {os.path.relpath(r.file, tmp_path): r for r in files.read_files(spark, found).collect()}
     assert set(got) == {os.path.relpath(f, tmp_path) for f in found} and got["a.md"].reason and got["a/b.md"].text == "x\u202e"
-    listed, cut = files.listing(str(tmp_path), always=("k.log",), most=3)
-    assert cut and len(listed) == 3
+    listed = files.listing(str(tmp_path), always=("k.log",))
+    names = [os.path.relpath(f, tmp_path) for f in listed.files]
+    assert names == [".gitignore", ".hidden", "a.md", "a/.ignore", "a/b.md", "a/b/z [1].md", "k.log", "link.md", "p%20+q.txt", "secret.txt"] and listed.ignored == 1
+    assert files.listing(str(tmp_path), most=3).limit_reached and files.listing(str(tmp_path), default_excludes=False, respect_ignore=False).ignored == 0
     assert files.stdin(spark, b"a\xc3\xa9").first().text == "a\u00e9"
     states = {r.state for r in files.read_for_editor(spark, found, 1).collect()}
     assert states == {"read", "not-text", "too-large"}

@@ -17,10 +17,30 @@ from .decode import BINARY, decoded, editor_text
 from .ignore import Ignore, to_regex
 
 STDIN = "<stdin>"
-# Folders and files that an editor's listing leaves out, and extensions that hold no text.
-FOLDERS = (".git", ".hg", ".svn", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "__pycache__", ".venv", "venv")
-FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock")
-BINARIES = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "7z", "woff", "woff2", "ttf", "mp3", "mp4", "mov", "exe", "dll", "so", "class", "jar", "wasm")
+# What an editor's listing leaves out, in any folder: folders, names, paths, and extensions that hold no text.
+FOLDERS = """
+.git .hg .svn
+node_modules bower_components jspm_packages .pnpm-store .yarn vendor site-packages Pods Carthage
+dist build out target _build _site dist-newstyle zig-out storybook-static cdk.out DerivedData CMakeFiles
+.next .nuxt .output .svelte-kit .angular .astro .docusaurus .vuepress .expo .turbo .parcel-cache .cache .sass-cache .jekyll-cache
+.dart_tool .pub-cache .gradle .kotlin .cxx .externalNativeBuild captures ephemeral .symlinks .swiftpm .build .bundle .stack-work .zig-cache .godot elm-stuff
+.vercel .netlify .serverless .aws-sam .terraform
+.venv venv __pycache__ .tox .nox .mypy_cache .pytest_cache .ruff_cache .ipynb_checkpoints .eggs *.egg-info
+coverage htmlcov .nyc_output .vscode-test .idea .vs xcuserdata
+""".split()
+NAMES = """
+*.min.js *.min.css *.map *.snap *.lock package-lock.json pnpm-lock.yaml npm-shrinkwrap.json go.sum
+*.pbxproj *.iml local.properties output-metadata.json .flutter-plugins .flutter-plugins-dependencies .packages
+Generated.xcconfig flutter_export_environment.sh GeneratedPluginRegistrant.*
+""".split()
+PATHS = ("fastlane/report.xml", "fastlane/test_output/**", "doc/api/**")
+BINARIES = """
+png jpg jpeg gif webp bmp ico icns tiff avif heic psd
+pdf zip gz tgz bz2 xz 7z rar tar jar war dmg iso
+woff woff2 ttf otf eot mp3 mp4 mov avi mkv webm wav ogg flac
+exe dll so dylib bin o a class pyc wasm db sqlite
+""".split()
+MOST_FILES = 5000
 
 
 @dataclass(frozen=True)
@@ -65,23 +85,44 @@ def collect(inputs: list[str], options: Walk = Walk()) -> list[str]:
     return sorted(set(out), key=path_key)
 
 
-def listing(root: str, excludes: tuple[str, ...] = (), always: tuple[str, ...] = (), most: int = 2000) -> tuple[list[str], bool]:
-    """An editor's listing: (files, whether the cap cut it). The cap comes after the rules; `always` brings back what they leave out."""
-    rules = Ignore(root, names=(".gitignore",), fallback=())
-    outs = [re.compile(to_regex(e)) for e in excludes]
-    backs = [re.compile(to_regex(a)) for a in always]
-    found = []
+@dataclass(frozen=True)
+class Listing:
+    files: list[str]
+    limit_reached: bool
+    ignored: int
+
+
+def _any(globs) -> re.Pattern | None:
+    return re.compile("|".join(f"(?:{to_regex(g)})" for g in globs)) if globs else None
+
+
+def listing(
+    root: str, patterns: tuple[str, ...] = ("**/*",), excludes: tuple[str, ...] = (), always: tuple[str, ...] = (), most: int = MOST_FILES,
+    default_excludes: bool = True, skip_binary: bool = True, respect_ignore: bool = True,
+) -> Listing:
+    """An editor's listing, sorted by path. The cap comes after the rules; `always` brings back what they leave out, and uncounts it."""
+    left_out = [*excludes]
+    if default_excludes:
+        left_out += [f"**/{f}/**" for f in FOLDERS] + [f"**/{n}" for n in (*NAMES, *PATHS)]
+    if skip_binary:
+        left_out += [f"**/*.{e}" for e in BINARIES]
+    asked, out, back = _any(patterns), _any(left_out), _any(always)
+    rules = Ignore(root, names=(".gitignore",), fallback=()) if respect_ignore else None
+    found, ignored = [], 0
     for at, folders, files in os.walk(root, followlinks=False):
         below = os.path.relpath(at, root).replace(os.sep, "/")
         below = "" if below == "." else below + "/"
-        folders[:] = [f for f in folders if f not in FOLDERS and not os.path.islink(os.path.join(at, f))]
+        folders[:] = [f for f in folders if not os.path.islink(os.path.join(at, f)) and (back or not (out and out.fullmatch(f"{below}{f}/x")))]
         for name in files:
             path = below + name
-            plain = name not in FILES and name.rpartition(".")[2].lower() not in BINARIES and not any(x.fullmatch(path) for x in outs)
-            if plain and not rules.ignored(path) or any(x.fullmatch(path) for x in backs):
+            wanted = bool(back and back.fullmatch(path))
+            seen = bool(asked and asked.fullmatch(path)) and not (out and out.fullmatch(path))
+            hidden = seen and bool(rules and rules.ignored(path))
+            ignored += hidden and not wanted
+            if wanted or seen and not hidden:
                 found.append(path)
-    found.sort(key=path_key)
-    return [os.path.join(root, f) for f in found[:most]], len(found) > most
+    found.sort(key=lambda p: p.encode("utf-16-be", "surrogatepass"))
+    return Listing([os.path.join(root, f) for f in found[:most]], len(found) > most, ignored)
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:

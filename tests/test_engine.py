@@ -111,8 +111,7 @@ def test_walk_and_read(spark, tmp_path):
     assert names == [".gitignore", ".hidden", "a.md", "a/.ignore", "a/b.md", "a/b/z [1].md", "k.log", "link.md", "p%20+q.txt", "secret.txt"] and listed.ignored == 1
     assert files.listing(str(tmp_path), most=3).limit_reached and files.listing(str(tmp_path), default_excludes=False, respect_ignore=False).ignored == 0
     assert files.stdin(spark, b"a\xc3\xa9").first().text == "a\u00e9"
-    states = {r.state for r in files.read_for_editor(spark, found, 1).collect()}
-    assert states == {"read", "not-text", "too-large"}
+    assert report.scan_counts(files.read_for_editor(spark, found, 1)).first().asDict() == {"read": 3, "too_large": 1, "not_text": 1}
     assert files.read_folder(spark, str(tmp_path), "*.md").count() >= 3
 
 
@@ -123,6 +122,7 @@ def test_sql_functions(spark, docs):
     assert found.count() == 4
     assert spark.sql("SELECT path FROM VALUES ('{\"a\": 1}') t(x), LATERAL key_spans(x, 'json')").first().path == "a"
     assert spark.sql("SELECT u_render(65), escape_ascii('\u00e9')").first()[:] == ("U+0041", "\\u00E9")
+    assert spark.sql("SELECT is_single_script('ab1'), is_single_script('a\u0430'), resolve_format(NULL, 'x.yml')").first()[:] == (True, False, "yaml")
     assert spark.sql("SELECT start FROM VALUES ('\"a\\\\n\"') t(x), LATERAL escape_spans(x)").first().start == 2
 
 

@@ -1,11 +1,12 @@
-"""Functions for SQL: unicode_findings, key_spans and escape_spans as table functions; u_render and escape_ascii as SQL functions."""
+"""Functions for SQL: unicode_findings, key_spans and escape_spans as table functions; u_render, escape_ascii, is_single_script and resolve_format as functions."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
-from .options import options
+from .options import options, resolve_format
 from .shipping import ship
 from .ucd import shared
 
@@ -39,6 +40,18 @@ def register(spark: SparkSession) -> None:
 
             yield from json_escapes(text or "")
 
+    @pandas_udf("boolean")
+    def single(words: pd.Series) -> pd.Series:
+        from veilcheck.operators.kernel import Text, is_single_script
+
+        return words.map(lambda w: None if w is None else is_single_script(Text(w, held.value).points, held.value))
+
+    @pandas_udf("string")
+    def reader(formats: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([resolve_format(f, n) for f, n in zip(formats, names, strict=True)])
+
+    spark.udf.register("is_single_script", single)
+    spark.udf.register("resolve_format", reader)
     spark.udtf.register("unicode_findings", UnicodeFindings)
     spark.udtf.register("key_spans", KeySpans)
     spark.udtf.register("escape_spans", EscapeSpans)

@@ -47,3 +47,8 @@ def capped_over_files(findings: DataFrame, most: int, id_col: str = "doc_id") ->
     before = F.coalesce(F.sum("count").over(W.orderBy(id_col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = counts.withColumn("before", before).where(F.col("before") < most)
     return findings.join(F.broadcast(first.select(id_col, "before")), id_col).withColumn("place", F.col("before") + F.col("seq") + 1).where(F.col("place") <= most).drop("before")
+
+
+def scan_counts(files: DataFrame) -> DataFrame:
+    """One row of counters over sources.files.read_for_editor(): read, too_large, not_text."""
+    return files.agg(*(F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in ("read", "too-large", "not-text")))

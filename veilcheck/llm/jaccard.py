@@ -26,6 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import exchange as X
 from . import kernels as K
@@ -88,7 +89,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def survey(size: int):
+def survey(size: int, id_type: pa.DataType):
     """A mapInArrow function over (k, id, body): the class and size of each document, and the task's n-gram counts by bucket."""
 
     names = ["k", "id", "s", "n", *_SKETCH, "segment", "counts"]
@@ -106,8 +107,8 @@ def survey(size: int):
         if counts.any():
             pressed = zstandard.ZstdCompressor(level=1)
             parts = counts.reshape(_SEGMENTS, -1)
-            none = [pa.nulls(_SEGMENTS, pa.int64())] * (4 + SKETCH)
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(_SEGMENTS), pa.int32()), pa.array([pressed.compress(p.tobytes()) for p in parts], pa.binary())], names=names)
+            none = pa.nulls(_SEGMENTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(_SEGMENTS, id_type), *[none] * (2 + SKETCH), pa.array(range(_SEGMENTS), pa.int32()), pa.array([pressed.compress(p.tobytes()) for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -251,14 +252,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     parts, kind = X.parts_of(spark), type_of(docs, id_col)
     rows = keyed(docs, id_col, text_col)
 
-    def typed(batches):
-        for batch in survey(size)(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(batch), id_type) if pa.types.is_null(batch.column(1).type) or batch.column(2).null_count else batch.column(1), *batch.columns[2:]], names=batch.schema.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    surveyed = settled(rows.mapInArrow(typed, f"k long, id {kind}, s long, n long, {", ".join(f"{q} long" for q in _SKETCH)}, segment int, counts binary"), "classes")
+    surveyed = settled(rows.mapInArrow(survey(size, to_arrow_type(docs.schema[id_col].dataType)), f"k long, id {kind}, s long, n long, {', '.join(f'{q} long' for q in _SKETCH)}, segment int, counts binary"), "classes")
     classes = surveyed.where("segment is null").select("k", "id", "s", "n", *_SKETCH)
     table = spark.sparkContext.broadcast(ranks_of(surveyed))
 

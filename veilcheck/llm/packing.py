@@ -107,13 +107,13 @@ class Ids:
         self.forget()
 
     def forget(self):
-        self.codes: dict[int, int] = {}
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def learn(self, texts: list[str]) -> None:
         """Ids of new pieces, for the next codes."""
-        known = len(self.codes)
+        known = len(self.keys)
         for lo in range(0, len(texts), 2000):
             some = texts[lo : lo + 2000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -141,24 +141,28 @@ class Ids:
                 simple &= np.array([not any(x in whole[offs[d] : offs[d + 1]] for x in self.special) for d in range(n)])
         out: list = [None] * n
         if simple.any():
-            if len(self.codes) > REMEMBERED:
+            if len(self.keys) > REMEMBERED:
                 self.forget()
             firsts = np.searchsorted(starts, offs)
             mine = np.repeat(simple, np.diff(firsts))
             hashes = K.ranges_hash(K.prefix(low), starts, ends)
             own, where, inverse = np.unique(hashes[mine], return_index=True, return_inverse=True)
-            codes = list(map(self.codes.get, own.tolist()))
-            new = [i for i, c in enumerate(codes) if c is None]
-            if new:
-                place = np.flatnonzero(mine)[where[new]]
+            place = np.searchsorted(self.keys, own)
+            old = np.zeros(len(own), bool)
+            old[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == own[place < len(self.keys)]
+            codes = np.zeros(len(own), np.int32)
+            codes[old] = self.codes[place[old]]
+            new = np.flatnonzero(~old)
+            if len(new):
+                at = np.flatnonzero(mine)[where[new]]
                 text = low.tobytes()
-                self.learn([text[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
-                known = len(self.codes)
-                for j, i in enumerate(new):
-                    codes[i] = known + j
-                self.codes.update(zip(own[new].tolist(), range(known, known + len(new)), strict=True))
-            code = np.array(codes, np.int64)[inverse]
-            sizes = self.sizes[code]
+                self.learn([text[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                codes[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+                keys = np.concatenate([self.keys, own[new]])
+                order = np.argsort(keys, kind="stable")
+                self.keys, self.codes = keys[order], np.concatenate([self.codes, codes[new]])[order]
+            code = codes[inverse]
+            sizes = self.sizes[code].astype(np.int64)
             after = np.cumsum(sizes)
             ids = self.ids[np.repeat(self.starts[code] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
             edges = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(np.where(simple, np.diff(firsts), 0))])]

@@ -9,7 +9,7 @@ import numpy as np
 
 from ..functions.options import FOREIGN_PERCENT, Options
 from ..functions.ucd import ALPHABETIC, COMBINING, COMMON, HAZARDS, INHERITED, LATIN, RANK, SEVERITY, UNKNOWN, WORD, Tables
-from .keypaths import escape_spans, key_at, key_spans
+from .keypaths import escape_spans, key_spans, keys_at
 
 
 def render(cp: int) -> str:
@@ -77,11 +77,16 @@ def is_single_script(points: np.ndarray, t: Tables) -> bool:
 
 
 def characters(x: Text):
+    """A finding for each hazardous character; what it says is made once for each code point."""
     kinds = x.t.hazard[x.points]
     at = np.flatnonzero(kinds)
-    for i in at[1:] if len(at) and at[0] == 0 and x.points[0] == 0xFEFF else at:
-        cp, kind = int(x.points[i]), HAZARDS[kinds[i]]
-        yield int(i), kind, [render(cp)], [x.t.scripts[x.script[i]]], [], hazard_detail(kind, cp)
+    at = at[1:] if len(at) and at[0] == 0 and x.points[0] == 0xFEFF else at
+    said: dict[int, tuple] = {}
+    for i, cp in zip(at.tolist(), x.points[at].tolist(), strict=True):
+        if cp not in said:
+            kind = HAZARDS[kinds[i]]
+            said[cp] = kind, [render(cp)], [x.t.scripts[x.script[i]]], [], hazard_detail(kind, cp)
+        yield i, *said[cp]
 
 
 def normal(x: Text):
@@ -154,7 +159,8 @@ def examine(text: str, format: str, asked: Options, tables: Tables) -> tuple[lis
         refused = context(x, asked.scripts)
         if refused is None:
             drafts += scripted(x, asked.scripts, escape_spans(text, format))
-    drafts = [d for d in drafts if asked.wants(d[1])]
+    if asked.kinds:
+        drafts = [d for d in drafts if asked.wants(d[1])]
     if not drafts:
         return [], refused
     drafts.sort(key=lambda d: (d[0], RANK[d[1]]))
@@ -162,4 +168,5 @@ def examine(text: str, format: str, asked: Options, tables: Tables) -> tuple[lis
     line, column = x.positions(at)
     spans = key_spans(text, format)
     offsets = x.offsets[at].tolist()
-    return [(kind, SEVERITY[kind], ln, col, off, key_at(spans, off), *rest) for (_, kind, *rest), ln, col, off in zip(drafts, line.tolist(), column.tolist(), offsets, strict=True)], refused
+    keys = keys_at(spans, offsets)
+    return [(kind, SEVERITY[kind], ln, col, off, key, *rest) for (_, kind, *rest), ln, col, off, key in zip(drafts, line.tolist(), column.tolist(), offsets, keys, strict=True)], refused

@@ -11,6 +11,8 @@ import bisect
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 Span = tuple[int, int, str]
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -183,22 +185,27 @@ def _closed(raw: bytes, a: int, b: int) -> bool:
     return slashes % 2 == 0
 
 
+_MARK = re.compile(rb'["\\]')
+
+
 def json_escapes(text: str) -> list[tuple[int, int]]:
     """Byte ranges of the escapes in strings: six bytes for \\u, else two, up to a character's end."""
-    raw, out = text.encode(), []
-    at = raw.find(b'"')
-    while at >= 0:
-        at += 1
-        while at < len(raw) and raw[at] != 34:
-            if raw[at] == 92:
-                end = min(len(raw), at + (6 if raw[at + 1 : at + 2] == b"u" else 2))
-                while end < len(raw) and raw[end] & 0xC0 == 0x80:
-                    end += 1
-                out.append((at, end))
-                at = end
-            else:
-                at += 1
-        at = raw.find(b'"', at + 1) if at < len(raw) else -1
+    out: list[tuple[int, int]] = []
+    if "\\" not in text:
+        return out
+    raw, inside, at = text.encode(), False, 0
+    while found := _MARK.search(raw, at):
+        at = found.start()
+        if raw[at] == 34:
+            inside, at = not inside, at + 1
+        elif inside:
+            end = min(len(raw), at + (6 if raw[at + 1 : at + 2] == b"u" else 2))
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end += 1
+            out.append((at, end))
+            at = end
+        else:
+            at += 1
     return out
 
 
@@ -264,3 +271,11 @@ def key_at(spans: list[Span], offset: int) -> str | None:
     """The path of the span that holds a byte; none outside and at a root."""
     i = bisect.bisect_right(spans, offset, key=lambda s: s[0]) - 1
     return (spans[i][2] or None) if i >= 0 and offset < spans[i][1] else None
+
+
+def keys_at(spans: list[Span], offsets: list[int]) -> list[str | None]:
+    """key_at() of each offset."""
+    if not spans:
+        return [None] * len(offsets)
+    places = np.searchsorted(np.array([s[0] for s in spans]), np.array(offsets), "right") - 1
+    return [(spans[i][2] or None) if i >= 0 and off < spans[i][1] else None for i, off in zip(places.tolist(), offsets, strict=True)]

@@ -167,10 +167,22 @@ def shared(spark: SparkSession) -> tuple[Tables, Broadcast]:
     return _shared[key]
 
 
-def hazard_class(*kinds: str) -> str:
-    """A regular expression's class of the fixed single-character hazards, without private use unless named."""
+def unknown(spark: SparkSession) -> list[tuple[int, int]]:
+    """Ranges of the code points of script Unknown but the surrogates: unassigned, private use and noncharacters, as in the tables."""
+    return ranges(spark._jvm.com.ibm.icu.text.UnicodeSet("[[:sc=Zzzz:]-[:Cs:]]"))
+
+
+def range_class(spans) -> str:
+    """The inside of a regular expression's class of sorted ranges, in blocks, so that a character is held against one block's ranges and not against all."""
+    blocks = [spans[i : i + 24] for i in range(0, len(spans), 24)]
+    return "".join(f"[\\x{{{b[0][0]:X}}}-\\x{{{b[-1][1]:X}}}&&[{''.join(f'\\x{{{a:X}}}-\\x{{{z:X}}}' for a, z in b)}]]" for b in blocks)
+
+
+def hazard_class(*kinds: str, spans=PRIVATE) -> str:
+    """A regular expression's class of the single-character hazards; spans are the ranges of the last kind, unknown() for all of it."""
     points = {"bidi-control": BIDI, "invisible": INVISIBLE, "unusual-whitespace": SPACES}
     out = "".join(f"\\x{{{p:X}}}" for k in kinds for p in points.get(k, ()))
     if "unassigned-or-private-use" in kinds:
-        out += "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PRIVATE)
-    return f"[{out}]"
+        out += range_class(spans)
+    # U+10FFFF as it is, not escaped: only that makes Java look behind by code points
+    return f"[\\x{{80}}-\U0010ffff&&[{out}]]"

@@ -15,15 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import code_point, u_render, utf16_units
-from ..functions.ucd import BIDI, INVISIBLE, PRIVATE, SEVERITY, SPACES, hazard_class
+from ..functions.ucd import BIDI, INVISIBLE, SEVERITY, SPACES, hazard_class, unknown
 
 KINDS = ("bidi-control", "invisible", "unusual-whitespace", "unassigned-or-private-use")
 
 
-def kind_of(cp: Column) -> Column:
-    """The kind of a hazard's code point, in order of precedence."""
-    private = reduce(lambda a, b: a | b, (cp.between(a, b) for a, b in PRIVATE))
-    return F.when(cp.isin(*BIDI), "bidi-control").when(cp.isin(*INVISIBLE), "invisible").when(cp.isin(*SPACES), "unusual-whitespace").when(private, "unassigned-or-private-use")
+def kind_of(ch: Column, spans) -> Column:
+    """The kind of a hazardous character, in order of precedence; spans are the ranges of the last."""
+    cp = code_point(ch)
+    return F.when(cp.isin(*BIDI), "bidi-control").when(cp.isin(*INVISIBLE), "invisible").when(cp.isin(*SPACES), "unusual-whitespace").when(ch.rlike(hazard_class(KINDS[3], spans=spans)), KINDS[3])
 
 
 def severity_of(kind: Column) -> Column:
@@ -32,17 +32,20 @@ def severity_of(kind: Column) -> Column:
 
 def hazards(docs: DataFrame, *keep: str, text_col: str = "text", kinds=KINDS) -> DataFrame:
     """(keep..., cp, kind, severity): a row for each hazardous character, a leading byte order mark aside. No shuffle."""
+    spans = unknown(docs.sparkSession)
+    sought = hazard_class(*kinds, spans=spans)
     text = F.when(F.col(text_col).startswith("\ufeff"), F.substring(F.col(text_col), 2, 2147483647)).otherwise(F.col(text_col))
-    chars = docs.where(F.col(text_col).rlike(hazard_class(*kinds))).select(*keep, F.explode(F.regexp_extract_all(text, F.lit(f"({hazard_class(*kinds)})"), 1)).alias("ch"))
-    coded = chars.select(*keep, code_point(F.col("ch")).alias("cp"))
-    named = coded.withColumn("kind", kind_of(F.col("cp")))
+    chars = docs.where(F.col(text_col).rlike(sought)).select(*keep, F.explode(F.regexp_extract_all(text, F.lit(f"({sought})"), 1)).alias("ch"))
+    named = chars.select(*keep, code_point(F.col("ch")).alias("cp"), kind_of(F.col("ch"), spans).alias("kind"))
     return named.withColumn("severity", severity_of(F.col("kind")))
 
 
-def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS) -> DataFrame:
-    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset. Windows go by the id, so each id has one text."""
+def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS, spans=None) -> DataFrame:
+    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset. Windows go by the id, so each id has one text. spans: ranges of the last kind, all by default."""
     text = F.col(text_col)
-    pieces = docs.where(text.rlike(hazard_class(*kinds))).select(F.col(id_col).alias("id"), F.posexplode(F.split(text, f"(?<={hazard_class(*kinds)})")).alias("pos", "piece"))
+    spans = unknown(docs.sparkSession) if spans is None else spans
+    sought = hazard_class(*kinds, spans=spans)
+    pieces = docs.where(text.rlike(sought)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text, f"(?<={sought})")).alias("pos", "piece"))
     before = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     piece = F.col("piece")
@@ -53,7 +56,7 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kin
     rows = rows.withColumn("at", start).withColumn("line_at", F.when(F.col("feeds") > 0, F.col("at") + F.col("units") - F.col("tail_units")))
     rows = rows.select("id", "ch", (F.sum("feeds").over(upto) + 1).alias("line"), (F.col("at") + F.col("head_units") - F.coalesce(F.max("line_at").over(upto), F.lit(0)) + 1).alias("column"), (F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.col("head_bytes")).alias("offset"))
     cp = code_point(F.col("ch"))
-    found = rows.withColumn("kind", kind_of(cp)).where("kind is not null").where(~((F.col("offset") == 0) & (cp == 0xFEFF)))
+    found = rows.withColumn("kind", kind_of(F.col("ch"), spans)).where("kind is not null").where(~((F.col("offset") == 0) & (cp == 0xFEFF)))
     return found.select(F.col("id").alias(id_col), F.col("line").cast("long"), F.col("column").cast("long"), F.col("offset").cast("long"), u_render(cp).alias("codepoint"), "kind", severity_of(F.col("kind")).alias("severity"))
 
 

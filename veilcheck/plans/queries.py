@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import escape_ascii, u_render
+from ..functions.ucd import PRIVATE
 from ..operators import native, report
 from ..operators.formats import format_of
 from ..operators.keys import key_paths, keys_at
@@ -58,7 +59,7 @@ def hazard_labels_join(spark, sf_dir):
 
 
 def _located(kind: str) -> Query:
-    return lambda spark, sf_dir: native.located(planted(spark, sf_dir), kinds=(kind,)).drop("kind", "severity")
+    return lambda spark, sf_dir: native.located(planted(spark, sf_dir), kinds=(kind,), spans=PRIVATE).drop("kind", "severity")
 
 
 QUERIES["bidi_findings"] = _located("bidi-control")

@@ -1,6 +1,6 @@
 """The same questions in DataFrame functions alone, for what they can express.
 
-No Python runs on the executors: a regular expression cuts a text behind each
+Save for surveyed(), no Python runs on the executors: a regular expression cuts a text behind each
 hazard, so the rows that follow are findings and not characters, and running
 windows within a document give positions. For a few documents of millions of
 hazards, or on a stream, screen() is the way.
@@ -8,14 +8,19 @@ hazards, or on a stream, screen() is the way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import code_point, u_render, utf16_units
-from ..functions.ucd import BIDI, INVISIBLE, SEVERITY, SPACES, hazard_class, unknown
+from ..functions.shipping import ship
+from ..functions.ucd import BIDI, INVISIBLE, SEVERITY, SPACES, hazard_class, shared, unknown
+from .kernel import Text, survey
 
 KINDS = ("bidi-control", "invisible", "unusual-whitespace", "unassigned-or-private-use")
 
@@ -60,17 +65,25 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kin
     return found.select(F.col("id").alias(id_col), F.col("line").cast("long"), F.col("column").cast("long"), F.col("offset").cast("long"), u_render(cp).alias("codepoint"), "kind", severity_of(F.col("kind")).alias("severity"))
 
 
-#: Scripts that the native survey tells apart, as Java names them.
-SURVEYED = ("Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Armenian", "Devanagari", "Thai", "Georgian")
-
-
-def surveyed(docs: DataFrame, *keep: str, text_col: str = "text", scripts=SURVEYED) -> DataFrame:
-    """(keep..., script, letters, n): letters in all and of each of the scripts that a text holds."""
-    text = F.col(text_col)
-    each = F.array(*(F.struct(F.lit(s).alias("script"), F.regexp_count(text, F.lit(f"[\\p{{IsAlphabetic}}&&\\p{{Is{s}}}]")).cast("long").alias("n")) for s in scripts))
-    letters = F.regexp_count(text, F.lit("\\p{IsAlphabetic}")).cast("long")
-    found = docs.where(text.rlike("[^\\x00-\\u024F]")).select(*keep, letters.alias("letters"), F.explode(each).alias("s"))
-    return found.select(*keep, "letters", "s.*").where("n > 0")
+def surveyed(docs: DataFrame, *keep: str, text_col: str = "text", scripts=()) -> DataFrame:
+    """(keep..., script, letters, n): letters in all and of each script but Latin and the values that are no scripts, by the kernel's survey; scripts keeps only those, if any are given."""
+    _, tables = shared(ship(docs.sparkSession))
+    rows = docs.where(F.col(text_col).rlike("[^\\x00-\\u024F]")).select(*keep, F.col(text_col).alias("surveyed_text"))
+    only = set(scripts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tables.value
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                letters, found = survey(Text(text, t))
+                out += [(i, letters, s, n) for s, n in found.items() if not only or s in only]
+            at, letters, script, n = zip(*out, strict=True) if out else ((),) * 4
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(letters, pa.int64()), pa.array(script, pa.string()), pa.array(n, pa.int64())], names=[*keep, "letters", "script", "n"])
+
+    more = StructType().add("letters", "long").add("script", "string").add("n", "long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[: len(keep)], *more.fields]))
 
 
 def shares(docs: DataFrame, *keep: str, declared=(), text_col: str = "text") -> DataFrame:

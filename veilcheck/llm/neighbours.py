@@ -88,12 +88,34 @@ def walk(query: np.ndarray, index, sizes: np.ndarray, enough: float) -> np.ndarr
 
 
 def few_ids(ids: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
-    """Indices of the `most` smallest ids of each distinct row: ties go to the smaller id, so no other can be among the nearest."""
+    """Indices of up to `most` rows of each of the `most` smallest ids of each distinct row: ties go to the smaller id, so no other can be among the nearest, whichever one id a query leaves out."""
     key = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64)
     order = np.lexsort((ids, key))
-    ordered = key[order]
-    rank = np.arange(len(order)) - np.searchsorted(ordered, ordered)
-    return order[rank < most]
+    at, key, own = np.arange(len(order)), key[order], ids[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(at)]
+    new_id = new | np.r_[True, own[1:] != own[:-1]][: len(at)]
+    nth = np.cumsum(new_id)
+    rank = nth - nth[np.maximum.accumulate(np.where(new, at, 0))]
+    copy = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return order[(rank < most) & (copy < most)]
+
+
+def exactly(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products that do not depend on which rows are taken together, as those of BLAS do."""
+    return np.add.reduce(rows * query, axis=1)
+
+
+def cut(score: np.ndarray, at: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, slack: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(score, at) in 2 * top columns that hold the `top` nearest of each query: where more are within rounding (slack) of the last, exact products and then ids decide."""
+    last = np.partition(score, -top, axis=1)[:, -top]
+    near = (score > -np.inf) & ~(score < (last - slack)[:, None])
+    for i in np.flatnonzero(near.sum(axis=1) > 2 * top):
+        some = np.flatnonzero(near[i])
+        rest = np.lexsort((ids[at[i, some]], -exactly(queries[i], rows[at[i, some]])))[top:]
+        near[i, some[rest]] = False
+    score = np.where(near, score, -np.inf)
+    keep = np.argpartition(-score, 2 * top - 1, axis=1)[:, : 2 * top]
+    return np.take_along_axis(score, keep, 1), np.take_along_axis(at, keep, 1)
 
 
 def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
@@ -192,11 +214,13 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
                     at = few_ids(ids, rows, top + 1)
                     at = at[np.argsort(cell[at], kind="stable")]
                     ids, cell, rows = ids[at], cell[at], rows[at]
-                    store = ids, rows, np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), cell
-                ids, rows, begin, cell = store
+                    store = ids, rows, np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), cell, np.linalg.norm(rows, axis=1).max()
+                ids, rows, begin, cell, longest = store
                 asked, queries, bits, name = found
                 queries = queries.reshape(len(asked), dim)
                 seen = np.unpackbits(bits.reshape(len(asked), -1), axis=1)[:, :n_cells].astype(bool)
+                # twice what rounding can part two products
+                slack = 4 * dim * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * longest
                 best_score, best_id = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
                 # some cells at a time: their vectors against the queries that visit any of them
                 step = max(1, len(begin) // max(1, -(-len(ids) // 512)))
@@ -212,11 +236,10 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
                     best_score = np.concatenate([best_score, score], axis=1)
                     best_id = np.concatenate([best_id, np.broadcast_to(np.arange(a, b), score.shape)], axis=1)
                     if best_score.shape[1] > 4 * top:
-                        keep = np.argpartition(-best_score, 2 * top - 1, axis=1)[:, : 2 * top]
-                        best_score, best_id = np.take_along_axis(best_score, keep, 1), np.take_along_axis(best_id, keep, 1)
+                        best_score, best_id = cut(best_score, best_id, queries, ids, rows, slack, top)
                 q, x = np.nonzero(best_score > -np.inf)
                 at = best_id[q, x]
-                exact = np.array([np.add.reduce(queries[i] * rows[j]) for i, j in zip(q, at, strict=True)]) if len(q) else np.zeros(0)
+                exact = exactly(queries[q], rows[at])
                 order = np.lexsort((ids[at], -exact, q))
                 q, at, exact = q[order], at[order], exact[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)

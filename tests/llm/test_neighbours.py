@@ -43,3 +43,18 @@ def test_a_repeated_query_leaves_its_equals(spark):
     assert [i for i, _ in got[3]] == [0] * 20
     # 25 query rows of id 0: each gets its answers
     assert sorted(got[0]) == [(i, 4.0) for i in range(1, 21) for _ in range(25)]
+
+
+def test_recall_of_the_share_alone(spark):
+    gen = np.random.default_rng(4)
+    x = gen.normal(size=(3000, 16)).astype(np.float32).astype(float)
+    asked = range(0, 3000, 20)
+    found = {least: nearest(spark, range(3000), x, asked, least=least) for least in (0, neighbours.VISIT_LEAST)}
+    recall = dict.fromkeys(found, 0.0)
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s)[:20].tolist())
+        for least, got in found.items():
+            recall[least] += len(best & {i for i, _ in got[q]}) / 20 / len(asked)
+    assert recall[0] >= 0.9

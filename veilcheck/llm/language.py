@@ -3,7 +3,7 @@
 Features are the shares of hashed 1- to 3-grams times their inverse document
 frequency. The model is trained by follow-the-regularised-leader with an
 elastic net, so that most weights are zero, on a bounded sample of labelled
-rows; a temperature fitted on a part of the sample that training leaves out
+rows, while document frequencies are those of all of them; a temperature fitted on a part of the sample that training leaves out
 makes its scores probabilities.
 """
 
@@ -55,6 +55,22 @@ def labelled(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], names=["label", "fold", "at", "share"])
 
 
+def frequencies(batches):
+    """A mapInArrow function over (text): of each bucket of every order, how many of the task's texts hold it."""
+    found, last = np.zeros(len(ORDERS) << BITS, np.int64), np.zeros((1 << BITS) + 1, np.int64)
+    for batch in batches:
+        for _, _, data, offs in K.slices(batch.column(0)):
+            buckets, firsts = features(data, offs)
+            for o, each in enumerate(buckets):
+                for a, b in zip(firsts[:-1], firsts[1:], strict=True):
+                    own, at = each[a:b], np.arange(b - a)
+                    last[own] = at
+                    once = own[last[own] == at]  # the last place of each
+                    found[once[once < 1 << BITS] + (o << BITS)] += 1
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["bucket", "n"])
+
+
 class Leader:
     """Follow-the-regularised-leader with an elastic net, for any number of classes."""
 
@@ -90,17 +106,14 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(rows: list, epochs: int = 4) -> tuple[list[str], np.ndarray]:
-    """Languages and the weight of each bucket (the last row of each order is zero) from rows of labelled(); fold 0 calibrates."""
+def fit(rows: list, seen: np.ndarray, total: int, epochs: int = 4) -> tuple[list[str], np.ndarray]:
+    """Languages and the weight of each bucket (the last row of each order is zero) from rows of labelled(); fold 0 calibrates. seen is in how many of `total` texts each bucket is."""
     languages = sorted({r[0] for r in rows})
     code = {x: i for i, x in enumerate(languages)}
     rows = sorted(((code[r[0]], r[1], np.frombuffer(bytes(r[2]), np.int32), np.frombuffer(bytes(r[3]), np.float32)) for r in rows), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
     rows = [rows[i] for i in np.random.default_rng(7).permutation(len(rows))]
     size = len(ORDERS) << BITS
-    seen = np.zeros(size)
-    for _, _, at, _ in rows:
-        seen[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 0.1
+    idf = np.log((1 + total) / (1 + seen)) + 0.1
     learn = [r for r in rows if r[1]] or rows
     held = [r for r in rows if not r[1]]
     model = Leader(size + 1, len(languages))
@@ -117,17 +130,21 @@ def fit(rows: list, epochs: int = 4) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows_a_language: int = ROWS_A_LANGUAGE):
-    """fit() on about rows_a_language rows of each language of the usable rows, drawn by a hash of the id."""
+    """fit() on about rows_a_language rows of each language of the usable rows, drawn by a hash of the id; document frequencies are counted over all usable rows."""
     spark = ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"), usable.alias("use")).where("use and label is not null and text is not null")
-    share = {r[0]: min(1.0, rows_a_language / r[1]) for r in known.groupBy("label").count().collect()}
-    if not share:
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    if not sizes:
         return None
+    share = {label: min(1.0, rows_a_language / n) for label, n in sizes.items()}
+    seen = np.zeros(len(ORDERS) << BITS)
+    for bucket, n in known.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").sum("n").collect():  # a row for each bucket
+        seen[bucket] = n
     table = spark.createDataFrame(list(share.items()), "label string, share double")
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) / F.lit(1e6)
     picked = known.join(F.broadcast(table), "label").where(draw < F.col("share"))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)).cast("int")
-    return fit(picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect())
+    return fit(picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect(), seen, sum(sizes.values()))
 
 
 def named(texts: pa.Array, model):

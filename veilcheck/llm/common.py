@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,26 +31,68 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; set to one of our own only where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster
+    executors would each write to a disk of theirs, so that is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
-    own = "file:///tmp/checkpoints"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = f"file:{tempfile.gettempdir()}/veilcheck-tables"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+#: Paths of the tables that settled() wrote within a finished() call.
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
+#: Tables that are still there, with the JVM and the Hadoop settings that reach them.
+_there: dict[str, tuple] = {}
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later jobs read it instead of making it anew, whatever executor is lost.
 
-    Spark deletes no such table; a session's folder is its own to clear. The
-    reader is held to the schema that was written, so an empty table works.
+    The reader is held to the schema that was written, so an empty table works.
+    A table stays until the finished() it belongs to ends, or the driver's process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _there[path] = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if (within := _within.get()) is not None:
+        within.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s frame, settled; the tables settled on the way to it are deleted, as nothing else reads them."""
+    steps: list[str] = []
+    token = _within.set(steps)
+    try:
+        df = make()
+    finally:
+        _within.reset(token)
+    out = settled(df, name)
+    forget(steps)
+    return out
+
+
+def forget(paths: list[str]) -> None:
+    """Deletes settled tables. One that can't be deleted, as when its session has ended, is left: that costs room and no rows."""
+    for path in paths:
+        jvm, settings = _there.pop(path)
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(settings).delete(at, True)
+        except (Py4JError, OSError):
+            continue
+
+
+atexit.register(lambda: forget(list(_there)))
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

@@ -3,8 +3,9 @@
 Features are the shares of hashed 1- to 3-grams times their inverse document
 frequency. The model is trained by follow-the-regularised-leader with an
 elastic net, so that most weights are zero, on a bounded sample of labelled
-rows, while document frequencies are those of all of them; a temperature fitted on a part of the sample that training leaves out
-makes its scores probabilities.
+texts, while document frequencies are those of all labelled rows; a temperature
+fitted on a part of the sample that training leaves out makes its scores
+probabilities.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from ..functions.shipping import ship
 from . import kernels as K
 from .common import type_of
 from .ngrams import code_points, counts, hashed, mean_weight
+from .sample import drawn
 
 BITS = 14
 ORDERS = (1, 2, 3)
-#: Labelled rows of a language that a model is fitted on, about: the bound of the sample.
+#: Labelled texts of a language that a model is fitted on at most: the bound of the sample.
 ROWS_A_LANGUAGE = 500
 _SCALE = 50.0
 
@@ -130,21 +132,19 @@ def fit(rows: list, seen: np.ndarray, total: int, epochs: int = 4) -> tuple[list
 
 
 def train(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows_a_language: int = ROWS_A_LANGUAGE):
-    """fit() on about rows_a_language rows of each language of the usable rows, drawn by a hash of the id; document frequencies are counted over all usable rows."""
-    spark = ship(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"), usable.alias("use")).where("use and label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    if not sizes:
+    """fit() on rows_a_language texts of each language of the usable rows at most; document frequencies are counted over all usable rows. None without such rows."""
+    ship(docs.sparkSession)
+    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"), usable.alias("use")).where("use and label is not null and text is not null")
+    found = drawn(known.select("label", "text"), rows_a_language, "language")
+    if found is None:
         return None
-    share = {label: min(1.0, rows_a_language / n) for label, n in sizes.items()}
+    picked, sizes = found
+    fold = F.pmod(F.xxhash64("draw", F.lit("fold")), F.lit(5)).cast("int")
+    rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect()  # within drawn()'s bound
     seen = np.zeros(len(ORDERS) << BITS)
     for bucket, n in known.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").sum("n").collect():  # a row for each bucket
         seen[bucket] = n
-    table = spark.createDataFrame(list(share.items()), "label string, share double")
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) / F.lit(1e6)
-    picked = known.join(F.broadcast(table), "label").where(draw < F.col("share"))
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)).cast("int")
-    return fit(picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect(), seen, sum(sizes.values()))
+    return fit(rows, seen, sum(sizes.values()))
 
 
 def named(texts: pa.Array, model):
@@ -170,9 +170,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learn_from (a condition over docs' columns); a prediction sees the text
     only. score is the calibrated probability of lang_pred. A text that is null
     or has no letter is `und` with score 0, and so is every text when there is
-    no row to learn from. Ties go to the language that sorts first. Other
-    columns are ignored; an empty table gives an empty one. Equal rows get
-    equal results.
+    no row to learn from. Ties go to the language that sorts first. Ids may be
+    null or repeated: they play no part. Other columns are ignored; an empty
+    table gives an empty one. Equal rows get equal results. A text of any
+    length is taken whole; the model has MOST_LABELS languages at most, and
+    more are an error.
     """
     spark = ship(docs.sparkSession)
     kind = type_of(docs, id_col)

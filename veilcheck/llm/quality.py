@@ -1,14 +1,17 @@
 """Quality rules: counted signals, and a calibrated logistic regression on hashed n-grams.
 
 The classifier sees the shares of hashed word 1- and 2-grams and character 2-
-and 4-grams. It is fitted on a bounded, stratified sample of labelled rows;
-a logistic curve fitted on rows that training leaves out, weighted back to the
+and 4-grams. It is fitted on a bounded, stratified sample of labelled texts;
+a logistic curve fitted on texts that training leaves out, weighted back to the
 labels' own shares, makes its scores probabilities. Texts are scored in Arrow
 batches against fixed thresholds.
 """
 
 from __future__ import annotations
 
+import collections
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,14 +21,15 @@ from ..functions.shipping import ship
 from . import kernels as K
 from .common import type_of
 from .ngrams import code_points, counts, hashed, mean_weight
+from .sample import drawn
 
 BITS = 15
 #: (kind, n) of the n-gram groups.
 GROUPS = (("word", 1), ("word", 2), ("char", 2), ("char", 4))
-#: Labelled rows of each label that the model is fitted on, about: the bound of the sample.
+#: Labelled texts of each label that the model is fitted on at most: the bound of the sample.
 ROWS_A_LABEL = 800
-#: A text stays if its probability of being good is at least this.
-LEAST_GOOD = 0.25
+#: A text stays if its probability of being good is at least this: below it lay no good text of sf0.1 that its model had not learned from.
+LEAST_GOOD = 0.4
 _SCALE = 60.0
 
 
@@ -135,18 +139,21 @@ def fit(rows: list, shares: dict[int, float], epochs: int = 12) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_a_label: int = ROWS_A_LABEL):
-    """fit() on about rows_a_label rows of each label, 0 and 1, drawn by a hash of the id; None without both labels."""
-    spark = ship(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    share = {r[0]: min(1.0, rows_a_label / r[1]) for r in known.groupBy("label").count().collect()}
-    if len(share) < 2:
+    """fit() on rows_a_label texts of each label, 0 and 1, at most; None, with a warning, where there are no texts of both."""
+    ship(docs.sparkSession)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    drawn_ = drawn(texts, rows_a_label, "quality", known)
+    rows, sizes = [], {}
+    if drawn_ is not None:
+        picked, sizes = drawn_
+        fold = F.pmod(F.xxhash64("draw", F.lit("fold")), F.lit(4)).cast("int")
+        rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label int, fold int, at binary, share binary").collect()  # within drawn()'s bound
+    found = collections.Counter(int(r[0]) for r in rows)
+    if len(found) < 2:
+        warnings.warn("no labelled texts of both labels: only the base rules judge", stacklevel=2)
         return None
-    draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) / F.lit(1e6)
-    picked = known.where(draw < F.when(F.col("label") == 0, share[0]).otherwise(share[1]))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)).cast("int")
-    rows = texts.join(F.broadcast(picked), "id").select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label int, fold int, at binary, share binary").collect()
-    return fit(rows, share) if len({r[0] for r in rows}) == 2 else None
+    return fit(rows, {label: found[label] / sizes[label] for label in found})
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least_good: float = LEAST_GOOD) -> DataFrame:
@@ -157,9 +164,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words, or when more than half of its words lie in 3-word windows that it
     has twice or more; others stay if p_good is at least least_good. Null and
     empty texts have no word and fail. Labels other than 0 and 1, null ids and
-    ids without a text are not learned from; without both labels every text
-    that the base rules pass stays (p_good is null). Equal rows get equal
-    results; other columns are ignored; an empty table gives an empty one.
+    ids without a text are not learned from; an id with both labels counts for
+    both, and repeated ids for all their texts. Without labelled texts of both
+    labels every text that the base rules pass stays (p_good is null), with a
+    warning. Equal rows get equal results; other columns are ignored; an empty
+    table gives an empty one. A text of any length is taken whole.
     """
     spark = ship(docs.sparkSession)
     kind = type_of(docs, id_col)

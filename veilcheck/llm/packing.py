@@ -1,13 +1,15 @@
 """Tokenising documents and packing them into sequences by best-fit decreasing.
 
-Pieces are dealt at random into groups of about GROUP_PIECES, and each group is
-packed by one task: longest first, each into the open sequence with the least
-room that holds it. Sequences of one group differ from the best of all by less
-than one in tens of thousands, so nothing is gained by packing all in one task.
+Pieces are dealt in turn into groups of about GROUP_PIECES, each task beginning
+at another group, and each group is packed by one task: longest first, each
+into the open sequence with the least room that holds it. Sequences of one
+group differ from the best of all by less than one in tens of thousands, so
+nothing is gained by packing all in one task.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -15,17 +17,24 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import kernels as K
-from .common import keyed, type_of
+from .common import keyed, settled, type_of
 
+#: Pieces that one task packs, about.
 GROUP_PIECES = 200_000
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 500_000
 
+# How the tokenizer that pieces() follows prepares and splits a text, from its file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -94,7 +103,9 @@ class Ids:
     Such a tokenizer gives a piece the same ids wherever it stands, so each
     distinct piece is encoded once. Documents that pieces() calls simple, and
     that hold none of the tokenizer's special strings, are put together from
-    their pieces' ids; any other goes to the tokenizer as it is.
+    their pieces' ids; any other goes to the tokenizer as it is, and so does
+    every document where the tokenizer's own settings are not those that
+    pieces() follows.
     """
 
     def __init__(self, path: str):
@@ -103,7 +114,9 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_piece = "word_bpe" in os.path.basename(path)
+        how = json.loads(self.tokenizer.to_str())
+        first = ((how["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0]
+        self.by_piece = how["normalizer"] == _NORMALIZER and first == _SPLIT
         self.forget()
 
     def forget(self):
@@ -177,20 +190,20 @@ class Ids:
 _ids: dict[str, Ids] = {}
 
 
-def tokenise(path: str, most: int, groups: int):
-    """A mapInArrow function over (id, body): a row for each piece, with the group it is packed in."""
+def tokenise(path: str, most: int):
+    """A mapInArrow function over (id, body): a row for each piece, with the task and its turn among the task's pieces."""
 
     def run(batches):
         if path not in _ids:
             _ids[path] = Ids(path)
-        ids, turn = _ids[path], 0
+        ids, turn, task = _ids[path], 0, TaskContext.get().partitionId()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
 
             def emit():
                 n = len(row)
-                group = (np.arange(turn, turn + n) % groups).astype(np.int32)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(group)], names=["id", "piece", "start", "length", "ids_crc32", "bin_group"])
+                turns = [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(turn, turn + n))]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *turns], names=["id", "piece", "start", "length", "ids_crc32", "task", "turn"])
 
             every = ((lo + d, x) for lo, _, data, offs in K.slices(batch.column(1).cast(pa.large_binary()).cast(pa.large_string())) for d, x in enumerate(ids.of(data, offs)))
             for i, found in every:
@@ -212,6 +225,12 @@ def tokenise(path: str, most: int, groups: int):
     return run
 
 
+def group_of(task: Column, turn: Column, groups: int) -> Column:
+    """The group of a task's turn: tasks begin at multiples of the golden ratio, which lie evenly around the groups however many there are."""
+    begin = F.floor(F.pmod(task * F.lit((5**0.5 - 1) / 2), F.lit(1.0)) * groups)
+    return F.pmod(begin + turn, F.lit(groups)).cast("int")
+
+
 class Room:
     """Open sequences by the room left in them, under a segment tree that counts those of each range of rooms."""
 
@@ -272,11 +291,10 @@ def pack(most: int):
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        groups = table.column(5).to_numpy()
         order = [("bin_group", "ascending"), ("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending")]
         table = table.take(pa.compute.sort_indices(table, order))
-        groups = table.column(5).to_numpy()
-        lengths = table.column(3).to_numpy()
+        groups = table.column("bin_group").to_numpy()
+        lengths = table.column("length").to_numpy()
         sequence, offset = np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64)
         edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -288,21 +306,25 @@ def pack(most: int):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, tokenizer: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces of documents' ids and their places in sequences of at most `most` tokens.
 
     Returns a row for each piece: (id, piece, start, length, ids_crc32,
     sequence_id, offset). A document's ids end with id 0, so null and empty
     texts are one piece of length 1. Only documents of more than `most` ids are
-    cut. Equal rows are packed each for itself; null ids are kept. Other
-    columns are ignored; an empty table gives an empty one. `tokenizer` is the
-    path of a file for the tokenizers library that executors can read.
+    cut, into pieces that any group may hold. Equal rows are packed each for
+    itself; null ids are kept; equal lengths are packed in order of their ids'
+    crc32. A text of any length is taken whole. Other columns are ignored; an
+    empty table gives an empty one. `tokenizer` is the path of a file for the
+    tokenizers library that executors can read.
     """
     ship(docs.sparkSession)
     kind = type_of(docs, id_col)
-    groups = max(1, math.ceil(docs.count() / GROUP_PIECES))
     rows = keyed(docs, id_col, text_col).select("id", "body")
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = rows.mapInArrow(tokenise(tokenizer or default_tokenizer(), most, groups), f"{columns}, bin_group int")
-    packed = pieces.repartitionById(groups, F.col("bin_group")).mapInArrow(pack(most), f"{columns}, sequence_id long, offset long")
+    # written, so that they are counted and dealt without encoding a text twice
+    pieces = settled(rows.mapInArrow(tokenise(tokenizer or default_tokenizer(), most), f"{columns}, task int, turn long"), "pieces")
+    groups = max(1, math.ceil(pieces.count() / group_pieces))
+    dealt = pieces.withColumn("bin_group", group_of(F.col("task"), F.col("turn"), groups)).drop("task", "turn")
+    packed = dealt.repartitionById(groups, F.col("bin_group")).mapInArrow(pack(most), f"{columns}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

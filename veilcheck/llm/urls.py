@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: Blocks of the filter at most: some 12 MB as a broadcast table.
 MOST_BLOCKS = 1 << 18
 #: Bits of a block that a URL sets.
@@ -75,10 +77,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
     listed. Null ids and equal rows stay, row for row; other columns are
     ignored; an empty table gives an empty one.
     """
-    names = listed.select(F.col("canonical").alias("name")).where("name is not null").distinct()
-    blocks = 16
-    while blocks * A_BLOCK < min(names.count(), MOST_BLOCKS * A_BLOCK):
-        blocks *= 2
+    # written, so that the list is made once, counted from the files, and read for the filter and the join
+    names = settled(listed.select(F.col("canonical").alias("name")).where("name is not null").distinct(), "listed")
+    wanted = -(-names.count() // A_BLOCK)
+    blocks = min(MOST_BLOCKS, max(16, 1 << (wanted - 1).bit_length()))
 
     def hashed(d: DataFrame) -> DataFrame:
         d = d.withColumn("hash", F.xxhash64("name"))

@@ -8,13 +8,15 @@ turn is a 4 by 4 table of costs, and tables of following turns combine into
 one by minima of sums. So a conversation is cut into segments: each gives its
 table, the tables of a conversation give the states at its segments' ends, and
 every segment is repaired by itself between those. No conversation, however
-long, is held by one task.
+long, is held by one task. Runs of turns go through the automaton together, a
+turn a step, so that Python works by batches and not by conversations.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Turns of a segment.
 SEGMENT = 4096
+#: Characters of a text that turns of one number and role are dealt by.
+RANGE_CHARS = 64
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 _FAR = 1 << 40
@@ -63,28 +67,51 @@ COSTS, HOW = moves()
 END = np.array([0, 2 * INSERT, INSERT, 0], np.int64)
 
 
-def table(roles: np.ndarray) -> np.ndarray:
-    """costs[state before, state after] of a run of turns."""
-    out = np.where(np.eye(4, dtype=bool), 0, _FAR)
-    for r in roles:
-        out = np.minimum((out[:, :, None] + COSTS[r][None]).min(axis=1), _FAR)
-    return out
-
+def _ways(roles: np.ndarray, sizes: np.ndarray, cost: np.ndarray, trace: bool):
+    """The least costs after each run of turns, and for each turn the state before it on the cheapest way to each state.
 
-def path(roles: np.ndarray, before: int, after: int) -> list[int]:
-    """The states after each turn of the cheapest way from one state to another; ties go to the smaller state."""
-    cost = np.full(4, _FAR, np.int64)
-    cost[before] = 0
-    back = np.zeros((len(roles), 4), np.int64)
-    for i, r in enumerate(roles):
-        step = cost[:, None] + COSTS[r]
-        back[i] = step.argmin(axis=0)
-        cost = np.minimum(step.min(axis=0), _FAR)
-    out, state = [], after
-    for i in range(len(roles) - 1, -1, -1):
-        out.append(state)
-        state = int(back[i, state])
-    return out[::-1]
+    roles holds the runs' turns end to end, sizes their lengths, cost the
+    costs of the states before (a row a run). All runs go a turn a step
+    together, the longest first, so a step is one operation over all that are
+    left.
+    """
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    left = len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(1, (sizes.max() if len(sizes) else 0) + 1))
+    back = np.zeros((len(roles), 4), np.int8) if trace else None
+    cost = cost.copy()
+    for t, n in enumerate(left.tolist()):
+        now = order[:n]
+        at = first[now] + t
+        step = cost[now][:, :, None] + COSTS[roles[at]]
+        if trace:
+            back[at] = step.argmin(axis=1)
+        cost[now] = np.minimum(step.min(axis=1), _FAR)
+    return cost, back
+
+
+def tables(roles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """costs[run, state before, state after] of runs of turns."""
+    begin = np.where(np.eye(4, dtype=bool), 0, _FAR)
+    return np.stack([_ways(roles, sizes, np.tile(begin[s], (len(sizes), 1)), False)[0] for s in range(4)], axis=1)
+
+
+def paths(roles: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The state after each turn of the cheapest ways from a run's state before to its state after (-1: to wherever the end costs least); ties go to the smaller state."""
+    begin = np.full((len(sizes), 4), _FAR, np.int64)
+    begin[np.arange(len(sizes)), before] = 0
+    cost, back = _ways(roles, sizes, begin, True)
+    state = np.where(after < 0, (cost + END).argmin(axis=1), after)
+    out = np.zeros(len(roles), np.int8)
+    last = np.cumsum(sizes) - 1
+    order = np.argsort(-sizes, kind="stable")
+    left = len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(1, (sizes.max() if len(sizes) else 0) + 1))
+    for t, n in enumerate(left.tolist()):
+        now = order[:n]
+        at = last[now] - t
+        out[at] = state[now]
+        state[now] = back[at, state[now]]
+    return out
 
 
 def ends(tables: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -102,31 +129,187 @@ def ends(tables: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def shown(text: str | None) -> str:
-    """Text with the template's own markers taken apart."""
-    return (text or "").replace("<|", "< |")
+KINDS = ("keep", "merge", "insert", "relabel", "end")
+#: How a turn is placed between two states, as an index into KINDS, and the empty turn before it.
+_KIND, _EMPTY = np.zeros((4, 4), np.int8), np.zeros((4, 4), np.int8)
+for (_before, _after), (_kind, _state) in HOW.items():
+    _KIND[_before, _after], _EMPTY[_before, _after] = KINDS.index(_kind), _state
 
 
 def opened(state: int, first: bool) -> str:
     return ("" if first else "<|im_end|>\n") + f"<|im_start|>{ROLES[state - 1]}\n"
 
 
-def render(roles: np.ndarray, texts: list[str | None], before: int, after: int, last: bool):
-    """(index of the source turn, step, action, state, text) of each turn between two states; step 0 and 2 are empty turns before and after it."""
-    state = before
-    for i, new in enumerate(path(roles, before, after)):
-        kind, empty = HOW[state, new]
-        if kind == "insert":
-            yield i, 0, "insert", empty, opened(empty, state == START)
-        named = kind if kind == "merge" else "keep" if roles[i] == new else "relabel"
-        yield i, 1, named, new, ("\n" if kind == "merge" else opened(new, state == START and kind == "keep")) + shown(texts[i])
-        state = new
-    if last:
-        end = len(roles) - 1
-        while state in (SYSTEM, USER):
-            state += 1
-            yield end, 2, "insert", state, opened(state, False)
-        yield end, 3, "end", state, "<|im_end|>\n"
+#: What a row begins with: of each state, as the conversation's first turn and as another; then a merged turn's and the end's.
+_HEADS = pa.array([opened(s, f) if s else "" for f in (True, False) for s in range(4)] + ["\n", "<|im_end|>\n"])
+_MERGED, _END = 8, 9
+
+
+def rendered(conv: pa.Array, turn: pa.Array, roles: np.ndarray, texts: pa.Array, sizes: np.ndarray, before: np.ndarray, after: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Rows (conv, turn, step, action, state, text) of runs of turns; step 0 and 2 are empty turns before and after one, 3 the end of a run that is a conversation's last."""
+    states = paths(roles, sizes, before, after).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    came = np.r_[0, states[:-1]]
+    came[first] = before
+    kind, empty = _KIND[came, states], _EMPTY[came, states].astype(np.int64)
+    at = np.arange(len(roles))
+    started = came != START
+    named = np.where(kind == 1, 1, np.where(roles == states, 0, 3))
+    turns = at, np.full(len(at), 1), named, states, np.where(kind == 1, _MERGED, states + 4 * (started | (kind == 2)))
+    put = np.flatnonzero(kind == 2)
+    before_ = put, np.zeros(len(put), np.int64), np.full(len(put), 2), empty[put], empty[put] + 4 * started[put]
+    close = (np.cumsum(sizes) - 1)[last]
+    more = [(x := close[states[close] < s], np.full(len(x), 2), np.full(len(x), 2), np.full(len(x), s), np.full(len(x), s + 4)) for s in (USER, ASSISTANT)]
+    done = close, np.full(len(close), 3), np.full(len(close), 4), np.full(len(close), ASSISTANT), np.full(len(close), _END)
+    source, step, action, state, head = (np.concatenate(x) for x in zip(before_, turns, *more, done, strict=True))
+    order = np.lexsort((state, step, source))
+    source, step, action, state, head = source[order], step[order], action[order], state[order], head[order]
+    # the template's own markers within a text are taken apart
+    shown = pa.compute.replace_substring(pa.compute.fill_null(texts, ""), "<|", "< |")
+    own = pa.array(np.where(step == 1, source, -1), pa.int64(), mask=step != 1)
+    text = pa.compute.binary_join_element_wise(_HEADS.take(pa.array(head)), pa.compute.fill_null(shown.take(own), ""), "")
+    source = pa.array(source)
+    return pa.RecordBatch.from_arrays([conv.take(source), turn.take(source), pa.array(step, pa.int32()), pa.array(KINDS).take(pa.array(action)), pa.array(state, pa.int32()), text], names=["conv", "turn", "step", "action", "state", "text"])
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Which values differ from the one before; the first does, and nulls equal each other."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        same = pa.compute.fill_null(pa.compute.equal(a, b), False)
+        out[1:] = ~pa.compute.or_(same, pa.compute.and_(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _states(names: pa.Array) -> np.ndarray:
+    """known() of each role."""
+    coded = names.dictionary_encode()
+    codes = np.array([*map(known, coded.dictionary.to_pylist()), 0], np.int64)
+    return codes[pa.compute.fill_null(coded.indices, len(codes) - 1).to_numpy(zero_copy_only=False)]
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], names=batches[0].schema.names)
+
+
+def cutter(segment_turns: int):
+    """A mapInArrow function over sorted (conv, turn, role, text).
+
+    Rendered rows of conversations that begin and end within the task and one
+    segment (segment null). Of others the turns, with their segment and place,
+    and of each segment a row with its costs (place -1).
+    """
+    names = ["conv", "turn", "step", "action", "state", "text", "segment", "place", "costs"]
+
+    def run(batches):
+        name = TaskContext.get().partitionId() << 32
+
+        def cut(rows: pa.RecordBatch, states: np.ndarray, sizes: np.ndarray):
+            nonlocal name
+            n, each = len(rows), len(sizes)
+            first = np.cumsum(sizes) - sizes
+            own = np.repeat(np.arange(each), sizes)
+            yield [rows.column(0), rows.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(states, pa.int32()), rows.column(3), pa.array(own + name), pa.array(np.arange(n) - first[own], pa.int32()), pa.nulls(n, pa.binary())]
+            number, word = pa.nulls(each, pa.int32()), pa.nulls(each, pa.string())
+            costs = pa.array([x.tobytes() for x in tables(states, sizes)], pa.binary())
+            yield [rows.column(0).take(pa.array(first)), pa.nulls(each, rows.column(1).type), number, word, number, word, pa.array(np.arange(each) + name), pa.array(np.full(each, -1), pa.int32()), costs]
+            name += each
+
+        def send(held: list[pa.RecordBatch], first_inner: bool, closed: bool):
+            """Of conversations one after the other: whether the first is known to begin, and the last to end."""
+            rows = _joined(held)
+            states = _states(rows.column(2))
+            sizes = np.diff(np.append(np.flatnonzero(_changes(rows.column(0))), len(rows)))
+            inner = sizes <= segment_turns
+            inner[0] &= first_inner
+            inner[-1] &= closed
+            mine = np.repeat(inner, sizes)
+            if inner.any():
+                some, n = rows.filter(pa.array(mine)), int(inner.sum())
+                out = rendered(some.column(0), some.column(1), states[mine], some.column(3), sizes[inner], np.zeros(n, np.int64), np.full(n, -1), np.ones(n, bool))
+                yield [*out.columns, pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())]
+            if not inner.all():
+                pieces = [min(segment_turns, n - lo) for n in sizes[~inner].tolist() for lo in range(0, n, segment_turns)]
+                yield from cut(rows.filter(pa.array(~mine)), states[~mine], np.array(pieces, np.int64))
+
+        def sent():
+            held: list[pa.RecordBatch] = []  # turns of the open conversation
+            conv, inner = None, False  # its name; whether it began within the task and no part of it was sent
+            for batch in batches:
+                if not len(batch):
+                    continue
+                new = _changes(batch.column(0))
+                new[0] = conv is None or _changes(pa.concat_arrays([conv, batch.column(0).slice(0, 1)]))[1]
+                at = np.flatnonzero(new)
+                if len(at):
+                    lo = int(at[-1])
+                    if held or lo:
+                        goes_on = bool(held) or not new[0]
+                        yield from send([*held, batch.slice(0, lo)], inner if goes_on else conv is not None, True)
+                    inner = conv is not None or lo > 0
+                    held, conv = [batch.slice(lo)], batch.column(0).slice(lo, 1)
+                else:
+                    held.append(batch)
+                if sum(map(len, held)) > segment_turns:
+                    yield from send(held, False, False)
+                    held, inner = [], False
+            if held:
+                yield from send(held, inner, False)
+
+        for columns in sent():
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def between(batches):
+    """A mapInArrow function over (conv, segment, costs), sorted: the states before and after each segment, and whether it is its conversation's last."""
+    names = ["segment", "before", "after", "last"]
+
+    def out(held):
+        found = ends([np.frombuffer(x, np.int64).reshape(4, 4) for _, x in held])
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array([i == n - 1 for i in range(n)])], names=names)
+
+    conv, held = None, []
+    for batch in batches:
+        new = _changes(batch.column(0))
+        if held and len(batch):
+            new[0] = _changes(pa.concat_arrays([conv, batch.column(0).slice(0, 1)]))[1]
+        for i, (segment, costs) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if new[i] and held:
+                yield out(held)
+                held = []
+            held.append((segment, costs))
+        if len(batch):
+            conv = batch.column(0).slice(len(batch) - 1)
+    if held:
+        yield out(held)
+
+
+def repair(batches):
+    """A mapInArrow function over (segment, place, conv, turn, state, text, before, after, last), a segment's note (place -1) first: rendered rows."""
+
+    def out(rows: pa.RecordBatch):
+        place = rows.column(1).to_numpy()
+        notes = np.flatnonzero(place == -1)
+        sizes = np.diff(np.append(notes, len(place))) - 1
+        turns = rows.filter(pa.array(place >= 0))
+        before, after, last = (rows.column(i).take(pa.array(notes)).to_numpy(zero_copy_only=False) for i in (6, 7, 8))
+        return rendered(turns.column(2), turns.column(3), turns.column(4).to_numpy().astype(np.int64), turns.column(5), sizes, before.astype(np.int64), after.astype(np.int64), last.astype(bool))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        notes = np.flatnonzero(batch.column(1).to_numpy() == -1)
+        lo = int(notes[-1]) if len(notes) else 0
+        if lo or len(notes) and held:
+            yield out(_joined([*held, batch.slice(0, lo)]))
+            held = [batch.slice(lo)]
+        elif len(batch):
+            held.append(batch)
+    if held:
+        yield out(_joined(held))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment_turns: int = SEGMENT) -> DataFrame:
@@ -138,82 +321,30 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     step, is the conversation in the template. Turns go by turn, a null one
     last, then by role and text, so repeated rows follow each other. Null roles
     and roles that are none of system, user, assistant or their aliases are
-    given one; a null text is empty. A null conversation is one like any other.
-    Other columns are ignored; an empty table gives an empty one.
+    given one; a null text is empty, and a text of any length is taken whole.
+    Ties between repairs go to the smaller state. A null conversation is one
+    like any other. Other columns are ignored; an empty table gives an empty
+    one.
+
+    Turns are dealt by ranges. A conversation within one range and one segment
+    is repaired there; of any other, segments go by their tables of costs.
     """
     spark = turns.sparkSession
     parts = X.parts_of(spark)
     conv_kind, turn_kind = type_of(turns, conv_col), type_of(turns, turn_col)
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    cut_schema = f"segment long, place int, conv {conv_kind}, turn {turn_kind}, role int, text string, costs binary"
-
-    def cut(batches):
-        segment, place, roles, conv, started = TaskContext.get().partitionId() << 32, 0, [], None, False
-        conv_type, turn_type = None, None
-
-        def total():
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([-1], pa.int32()), pa.array([conv], conv_type), pa.nulls(1, turn_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([table(np.array(roles, np.int64)).tobytes()], pa.binary())], names=["segment", "place", "conv", "turn", "role", "text", "costs"])
-
-        for batch in batches:
-            conv_type, turn_type = batch.schema.types[0], batch.schema.types[1]
-            convs, states = batch.column(0).to_pylist(), [known(r) for r in batch.column(2).to_pylist()]
-            segments, places = [], []
-            for c, r in zip(convs, states, strict=True):
-                if started and (c != conv or place == segment_turns):
-                    yield total()
-                    segment, place, roles = segment + 1, 0, []
-                conv, started = c, True
-                segments.append(segment)
-                places.append(place)
-                roles.append(r)
-                place += 1
-            n = len(convs)
-            yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(places, pa.int32()), batch.column(0), batch.column(1), pa.array(states, pa.int32()), batch.column(3), pa.nulls(n, pa.binary())], names=["segment", "place", "conv", "turn", "role", "text", "costs"])
-        if started:
-            yield total()
-
-    cuts = settled(ranged.mapInArrow(cut, cut_schema), "turns")
-
-    def states(table_: pa.Table) -> pa.Table:
-        table_ = table_.sort_by("segment")
-        found = ends([np.frombuffer(x, np.int64).reshape(4, 4) for x in table_.column("costs").to_pylist()])
-        n = len(found)
-        return pa.table({"segment": table_.column("segment"), "before": pa.array([x[0] for x in found], pa.int32()), "after": pa.array([x[1] for x in found], pa.int32()), "last": pa.array([i == n - 1 for i in range(n)])})
-
-    # a row for each segment of a conversation
-    tables = cuts.where("place = -1").select("segment", "conv", "costs")
-    between = tables.groupBy("conv").applyInArrow(states, "segment long, before int, after int, last boolean")
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("conv", conv_kind), ("turn", turn_kind), ("role", "int"), ("text", "string"))]
-    noted = between.select("segment", F.lit(-1).alias("place"), *none, "before", "after", "last")
-    turns_ = cuts.where("place >= 0").select("segment", "place", "conv", "turn", "role", "text", *(F.lit(None).cast(k).alias(c) for c, k in (("before", "int"), ("after", "int"), ("last", "boolean"))))
-    dealt = noted.unionByName(turns_).repartition(parts, "segment").sortWithinPartitions("segment", "place")
-
-    def repair(batches):
-        held, note = [], None
-
-        def out():
-            table_ = pa.Table.from_batches(held).combine_chunks()
-            roles = table_.column("role").to_numpy()
-            found = list(render(roles, table_.column("text").to_pylist(), *note))
-            at = pa.array([f[0] for f in found], pa.int64())
-            columns = [table_.column("conv").take(at), table_.column("turn").take(at), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found]), pa.array([ROLES[f[3] - 1] for f in found]), pa.array([f[4] for f in found])]
-            return pa.table(columns, names=["conv", "turn", "step", "action", "role", "rendered"]).to_batches()
-
-        for batch in batches:
-            places = batch.column(1).to_numpy()
-            edges = np.flatnonzero(places == -1)
-            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(places)], strict=True):
-                if lo < hi and places[lo] == -1:
-                    if held:
-                        yield from out()
-                    held, note = [], tuple(batch.column(i)[int(lo)].as_py() for i in (6, 7, 8))
-                    lo += 1
-                if lo < hi:
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from out()
-
-    schema = f"conv {conv_kind}, turn {turn_kind}, step int, action string, role string, rendered string"
-    return dealt.mapInArrow(repair, schema).withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first()]
+    # ranges go by the start of a text, so that the sample that bounds them is small; within one, whole texts decide
+    ranged = rows.repartitionByRange(parts, *order, F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    cuts = settled(ranged.mapInArrow(cutter(segment_turns), f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string, segment long, place int, costs binary"), "turns")
+
+    # a row for each segment of a conversation that more than one task or segment holds
+    tables_ = cuts.where("place = -1").select("conv", "segment", "costs").repartition(parts, "conv").sortWithinPartitions("conv", "segment")
+    notes = tables_.mapInArrow(between, "segment long, before int, after int, last boolean")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("conv", conv_kind), ("turn", turn_kind), ("state", "int"), ("text", "string"))]
+    noted = notes.select("segment", F.lit(-1).alias("place"), *none, "before", "after", "last")
+    loose = cuts.where("place >= 0").select("segment", "place", "conv", "turn", "state", "text", *(F.lit(None).cast(k).alias(c) for c, k in (("before", "int"), ("after", "int"), ("last", "boolean"))))
+    dealt = noted.unionByName(loose).repartition(parts, "segment").sortWithinPartitions("segment", "place")
+    repaired = dealt.mapInArrow(repair, f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string")
+    out = cuts.where("segment is null").select(*repaired.columns).unionByName(repaired)
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "step", "action", F.element_at(F.array(*map(F.lit, ROLES)), F.col("state")).alias("role"), F.col("text").alias("rendered"))

@@ -1,10 +1,11 @@
 """Repeated byte strings by a logarithmic family of suffix indexes.
 
-Suffixes are cut to `width` bytes, as only equality over that length is asked,
-and an index level is an array of suffixes in the order of a 64-bit
-fingerprint of those bytes. A batch of suffixes gets an array of its own, is
-merge-scanned against the levels there are, and joins them; two levels of
-about equal size merge into one, so n batches leave log(n) levels.
+Suffixes are cut to `width` bytes, as only equality over that length is asked.
+A batch of suffixes gets a suffix array of its own, in the order of their text,
+is merge-scanned against the levels there are, and becomes a level; two levels
+of about equal size merge into one, so n batches leave log(n) levels. Suffixes
+are equal if all their bytes are: no hash decides a removal. Equal ones are
+held once, so a crowd of copies costs its levels one suffix.
 
 One index over a corpus would be one task. So suffixes are dealt by content:
 the least of the hashes of the `KMER`-byte strings within a suffix, the
@@ -34,6 +35,8 @@ KMER = 32
 _PLACE_BITS = 30
 #: Suffixes in a batch.
 BATCH = 1 << 19
+#: Words of eight bytes that are compared at once.
+_BLOCK = 8
 
 
 def kmer_for(width: int) -> int:
@@ -71,40 +74,157 @@ def runs(data: np.ndarray, offs: np.ndarray, width: int):
     return doc[first], start[first], start[last] + 1, hashes[at[first]]
 
 
+class Texts:
+    """Bytes whose suffixes, cut to `width`, are read as big-endian words, so that words sort as their bytes do."""
+
+    def __init__(self, data: np.ndarray, width: int):
+        self.width, self.data = width, np.concatenate([data, np.zeros(8 * _BLOCK, np.uint8)])
+        self.words = np.ndarray((len(self.data) - 8 * _BLOCK + 1, _BLOCK), ">u8", self.data, strides=(1, 8))
+        self.steps = -(-width // 8)
+        kept = np.full(self.steps + _BLOCK, (1 << 64) - 1, K.U)
+        kept[self.steps :] = 0
+        if width % 8:
+            kept[self.steps - 1] -= K.U((1 << 8 * (8 - width % 8)) - 1)
+        self.kept = np.lib.stride_tricks.sliding_window_view(kept, _BLOCK)
+
+    def block(self, at: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """_BLOCK words of each suffix from its step-th on; what lies beyond `width` is zero."""
+        out = self.words[np.minimum(at + 8 * step, len(self.words) - 1)].astype(K.U)
+        edge = np.flatnonzero(step + _BLOCK >= self.steps)
+        out[edge] &= self.kept[step[edge]]
+        return out
+
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        return self.words[at, 0].astype(K.U) & self.kept[0, 0]
+
+
+def suffix_array(texts: Texts, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at `starts` by their text, and which are not equal to the one before.
+
+    Suffixes of one head are a group. A group whose members differ in the words
+    that are looked at next is sorted by the first that differs, and so falls
+    into smaller ones; a group without a difference up to the width is one of
+    equal suffixes.
+    """
+    head = texts.heads(starts)
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    new = np.ones(len(order), bool)
+    new[1:] = head[1:] != head[:-1]
+    step = np.ones(len(order), np.int64)  # of each place: words that its group is known to share
+    at = np.arange(len(order))
+    while len(at):
+        # places whose group has others and is not known to the end
+        first = np.flatnonzero(new[at])
+        size = np.diff(np.append(first, len(at)))
+        first, size = (x[(size > 1) & (step[at[first]] < texts.steps)] for x in (first, size))
+        own = np.repeat(np.arange(len(first)), size)
+        begin = np.cumsum(size) - size
+        at = at[np.arange(len(own)) - begin[own] + first[own]]
+        if not len(at):
+            break
+        rows = texts.block(starts[order[at]], step[at])
+        differs = rows != rows[begin][own]
+        column = np.where(differs.any(axis=1), differs.argmax(axis=1), _BLOCK)
+        least_ = np.minimum.reduceat(column, begin)
+        step[at] += np.minimum(least_ + 1, _BLOCK)[own]
+        split = np.flatnonzero((least_ < _BLOCK)[own])
+        if len(split):
+            key = rows[split, least_[own[split]]]
+            by = np.lexsort((key, own[split]))
+            places = at[split]
+            order[places] = order[places[by]]
+            key, group = key[by], own[split]
+            new[places[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+    return order, new
+
+
+class Level:
+    """Suffixes that differ from each other, in order of their text; refs tell which suffixes they are."""
+
+    def __init__(self, texts: Texts, starts: np.ndarray, refs: np.ndarray):
+        self.texts, self.starts, self.refs = texts, starts, refs
+        self.heads = texts.heads(starts)
+
+    def seek(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of another level its place in this one, and whether an equal one is there: a binary search among those of one head."""
+        lo, hi = (np.searchsorted(self.heads, other.heads, side) for side in ("left", "right"))
+        equal = np.zeros(len(other.starts), bool)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) // 2
+            sign = compare(self.texts, self.starts[middle], other.texts, other.starts[open_])
+            equal[open_[sign == 0]] = True
+            lo[open_] = np.where(sign < 0, middle + 1, np.where(sign == 0, middle, lo[open_]))
+            hi[open_] = np.where(sign < 0, hi[open_], middle)
+            open_ = open_[(lo[open_] < hi[open_]) & (sign != 0)]
+        return lo, equal
+
+    def merged(self, other: Level, place: np.ndarray, equal: np.ndarray) -> Level:
+        """Both levels as one; of equal suffixes this one's stay."""
+        n, new = len(self.starts), ~equal
+        shift = len(self.texts.data) - 8 * _BLOCK
+        texts = Texts(np.concatenate([self.texts.data[:shift], other.texts.data[: len(other.texts.data) - 8 * _BLOCK]]), self.texts.width)
+        at = place[new] + np.arange(int(new.sum()))
+        mine = np.ones(n + len(at), bool)
+        mine[at] = False
+        starts, refs = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+        starts[mine], starts[at] = self.starts, other.starts[new] + shift
+        refs[mine], refs[at] = self.refs, other.refs[new]
+        return Level(texts, starts, refs)
+
+
+def compare(one: Texts, a: np.ndarray, two: Texts, b: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 for each pair of suffixes."""
+    out, left, step = np.zeros(len(a), np.int8), np.arange(len(a)), 0
+    while len(left) and step < one.steps:
+        at = np.full(len(left), step)
+        x, y = one.block(a[left], at), two.block(b[left], at)
+        differs = x != y
+        column = differs.argmax(axis=1)
+        row = np.arange(len(left))
+        some = differs[row, column]
+        out[left[some]] = np.where(x[row, column] < y[row, column], -1, 1)[some]
+        left, step = left[~some], step + _BLOCK
+    return out
+
+
 class Levels:
-    """The family: sorted arrays of fingerprints and of the suffixes they belong to."""
+    """The family: levels of suffix arrays, each more than twice as large as the next."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, width: int):
+        self.width = width
+        self.levels: list[Level] = []
         self.again: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, prints: np.ndarray) -> None:
-        """A batch; again[] tells of each suffix so far whether an equal one came before or after."""
-        order = np.argsort(prints, kind="stable")
-        keys, refs = prints[order], order + self.size
-        self.again.append(np.zeros(len(prints), bool))
-        self.size += len(prints)
-        marks = np.concatenate(self.again) if len(self.again) > 1 else self.again[0]
-        same = keys[1:] == keys[:-1]
-        marks[refs[1:][same]] = marks[refs[:-1][same]] = True
-        for old, old_refs in self.levels:
-            place = np.searchsorted(old, keys)
-            hit = np.flatnonzero(old[np.minimum(place, len(old) - 1)] == keys)
-            if len(hit):
-                marks[refs[hit]] = True
-                # the first of a run of equal keys in a level stands for the others, which mark each other when they met
-                marks[old_refs[place[hit]]] = True
-        self.again = [marks]
-        self.levels.append((keys, refs))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (b, b_refs), (a, a_refs) = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([a, b])
-            order = np.argsort(both, kind="stable")
-            self.levels.append((both[order], np.concatenate([a_refs, b_refs])[order]))
+    def add(self, data: np.ndarray, starts: np.ndarray) -> None:
+        """A batch: a text and where its suffixes start. marks() tells of each suffix so far whether an equal one came before or after."""
+        texts = Texts(data, self.width)
+        order, new = suffix_array(texts, starts)
+        marks = np.zeros(len(starts), bool)
+        same = np.flatnonzero(~new)
+        marks[order[same]] = marks[order[same - 1]] = True
+        # the first of a run of equal suffixes stands for the others, which mark each other here
+        run = np.cumsum(new) - 1
+        batch = Level(texts, starts[order[new]], order[new] + self.size)
+        self.again.append(marks)
+        self.size += len(starts)
+        bounds = np.cumsum([0, *map(len, self.again)])
+        for level in self.levels:
+            place, equal = level.seek(batch)
+            marks[order[equal[run]]] = True
+            refs = level.refs[place[equal]]
+            which = np.searchsorted(bounds, refs, "right") - 1
+            for w in np.unique(which):
+                self.again[w][refs[which == w] - bounds[w]] = True
+        self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2].starts) < 2 * len(self.levels[-1].starts):
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(a.merged(b, *a.seek(b)))
 
     def marks(self) -> np.ndarray:
-        return self.again[0] if self.again else np.zeros(0, bool)
+        return np.concatenate(self.again) if self.again else np.zeros(0, bool)
 
 
 def send_text(parts: int, width: int):
@@ -153,36 +273,44 @@ def own_key(data: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(data.tobytes())).astype(np.int64)
 
 
-def prints(text: np.ndarray, counts: np.ndarray, width: int):
-    """Fingerprints of the first counts[i] suffixes of each piece of text, in order, about BATCH at a time."""
+def batches_of(text: np.ndarray, counts: np.ndarray, width: int):
+    """(bytes, starts) of the first counts[i] suffixes of each piece of text, in order, about BATCH at a time."""
     sizes = counts.astype(np.int64) + width - 1
     ends = np.cumsum(sizes)
+    before = np.cumsum(counts.astype(np.int64)) - counts
     i = 0
     while i < len(counts):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + BATCH, "right")) - 1)
         base = ends[i] - sizes[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + 4 * BATCH, "right")))
-        part = text[base : ends[j - 1]]
-        sums = K.prefix(part)
-        own = np.repeat(np.arange(j - i), counts[i:j])
-        begins = np.cumsum(counts[i:j].astype(np.int64)) - counts[i:j]
-        start = np.arange(len(own)) - begins[own] + (ends[i:j] - sizes[i:j] - base)[own]
-        yield K.ranges_hash(sums, start, start + width)
+        own = np.repeat(np.arange(i, j), counts[i:j])
+        yield text[base : ends[j - 1]], np.arange(len(own)) - (before[own] - before[i]) + ends[own] - sizes[own] - base
         i = j
 
 
+def feed(index: Levels, raws: list[np.ndarray], found: list[tuple], width: int) -> None:
+    """The texts of the last payloads, as batches."""
+    counts = np.concatenate([f[3] for f in found[-len(raws) :]])
+    for data, starts in batches_of(np.concatenate(raws), counts, width):
+        index.add(data, starts)
+
+
 def note_suffixes(parts: int, width: int):
     """A mapInArrow function over dealt text: for each document the spans of suffixes that occur twice or more."""
 
     def run(batches):
         out = X.Sender(parts)
         for blobs in X.by_part(batches):
-            index, found = Levels(), []
+            index, found, raws, counted = Levels(width), [], [], 0
             for blob in blobs:
                 key, key2, low, count, text = X.unpack(blob)
                 found.append((key, key2, low, count))
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes()), np.uint8)
-                for batch in prints(raw, count, width):
-                    index.add(batch)
+                raws.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes()), np.uint8))
+                counted += int(count.sum())
+                if counted >= BATCH:
+                    feed(index, raws, found, width)
+                    raws, counted = [], 0
+            if raws:
+                feed(index, raws, found, width)
             again = index.marks()
             key, key2, low, count = (np.concatenate(x) for x in zip(*found, strict=True))
             begin = np.cumsum(count.astype(np.int64)) - count

@@ -60,13 +60,36 @@ def test_suffixes(docs, width):
     assert rows_of(suffixes.remove_repeats(docs, width=width)) == brute.suffixes(ROWS, width)
 
 
-def test_levels_merge_geometrically():
-    index, values = suffixes.Levels(), np.random.default_rng(2).integers(0, 900, 1600).astype(np.uint64)
-    for lo in range(0, 1600, 100):
-        index.add(values[lo : lo + 100])
-    assert len(index.levels) <= 5 and sum(len(k) for k, _ in index.levels) == 1600
-    n = collections.Counter(values.tolist())
-    assert index.marks().tolist() == [n[v] > 1 for v in values.tolist()]
+@pytest.mark.parametrize("width", [3, 8, 20, 64, 200])
+def test_suffix_arrays(width):
+    gen = np.random.default_rng(width)
+    text = gen.integers(0, 2, 3000).astype(np.uint8) * 255
+    text[1000:1700] = text[200:900]
+    text[2000:2300] = 7
+    starts = gen.permutation(len(text) - width)
+    order, new = suffixes.suffix_array(suffixes.Texts(text, width), starts)
+    raw = text.tobytes()
+    found = [raw[s : s + width] for s in starts[order]]
+    assert found == sorted(found) and new.tolist() == [i == 0 or found[i] != found[i - 1] for i in range(len(found))]
+
+
+@pytest.mark.parametrize("width", [4, 70])
+def test_levels_merge_geometrically(width):
+    gen = np.random.default_rng(2)
+    index, texts = suffixes.Levels(width), []
+    for i in range(16):
+        text = gen.integers(97, 99, 100 + width).astype(np.uint8)
+        if i % 3 == 1:
+            text[: 60 + width] = texts[i // 2][10 : 70 + width]
+        texts.append(text)
+        index.add(text, np.arange(100))
+        sizes = [len(level.starts) for level in index.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    every = [t.tobytes()[s : s + width] for t in texts for s in range(100)]
+    n = collections.Counter(every)
+    assert index.marks().tolist() == [n[v] > 1 for v in every]
+    held = [level.texts.data.tobytes()[s : s + width] for level in index.levels for s in level.starts]
+    assert set(held) == set(every) and len(index.levels) <= 5
 
 
 @pytest.mark.parametrize("size,percent", [(5, 75), (2, 60), (1, 90)])
@@ -88,6 +111,31 @@ def test_jaccard_crowd(spark):
     assert rows_of(got) == brute.jaccard(rows, 5, 75)
 
 
+def test_jaccard_crowd_of_lengths(spark, monkeypatch):
+    """Classes of one n-gram in several parts and bins of lengths, some similar enough and some not."""
+    monkeypatch.setattr(jaccard, "CROWD", 8)
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    words, rows = prose(300).split(), []
+    for i in range(150):
+        n = rng.choice([60, 66, 75, 79, 80, 81, 100, 120, 160, 300])
+        w = words[:n]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for percent in (75, 90):
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent)
+        assert rows_of(got) == brute.jaccard(rows, 5, percent)
+
+
+def test_templated_pages_make_no_pairs(spark):
+    """Pages that share 80 % of their words but do not link meet on no n-gram of the indexed side."""
+    shared = " ".join(f"t{i}" for i in range(11))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared + " "), F.concat_ws(" ", *(F.concat(F.lit(f"u{j}x"), F.col("id").cast("string")) for j in range(3)))).alias("text"))
+    got = jaccard.near_duplicates(docs)
+    assert got.where("n_shingles = 10 and component_id = doc_id").count() == 20_000
+
+
 def test_keep_one(docs):
     kept = jaccard.keep_one(docs)
     ids = collections.Counter(r.doc_id for r in kept.collect())

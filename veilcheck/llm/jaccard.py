@@ -20,6 +20,8 @@ components is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import exchange as X
 from . import kernels as K
-from .common import keyed, row_key, settled, type_of
+from .common import finished, keyed, row_key, settled, type_of
 from .components import components
 
 #: Buckets of the frequency table that orders n-grams: its size, and what is broadcast, does not follow the data.
@@ -43,6 +45,8 @@ SKETCH = 16
 _SKETCH = [f"q{i}" for i in range(SKETCH)]
 #: Rounds of stars before all pairs of different components, and the hubs of a star.
 STARS, HUBS = 2, 32
+#: Classes of one n-gram and length that a part of the last join holds, about.
+CROWD = 512
 #: Row keys of this many documents at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 
@@ -213,14 +217,20 @@ def meet(few: int):
     return run
 
 
+def length_passes(percent: int):
+    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+
+
 def passes(percent: int):
     """The length and positional filters for classes a and b that meet at an n-gram."""
-    least, most, total = F.least("a_n", "b_n"), F.greatest("a_n", "b_n"), F.col("a_n") + F.col("b_n")
+    total = F.col("a_n") + F.col("b_n")
     bound = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    # a pair also meets on the shorter prefix that the smaller set needs against sets no smaller
-    first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_s") < F.col("b_s")))
-    early = F.when(first, F.col("a_place")).otherwise(F.col("b_place")) * (100 + percent) <= least * (100 - percent)
-    return (least * 100 >= most * percent) & (bound * (100 + percent) >= total * percent) & early
+    return length_passes(percent) & (bound * (100 + percent) >= total * percent)
+
+
+def indexed(percent: int):
+    """The shorter prefix that a set needs against sets no smaller: of two similar sets that of the smaller meets the prefix of the other."""
+    return F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)
 
 
 def suffix_passes(percent: int):
@@ -256,111 +266,129 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     classes = surveyed.where("segment is null").select("k", "id", "s", "n", *_SKETCH)
     table = spark.sparkContext.broadcast(ranks_of(surveyed))
 
-    prefixes = rows.select("k", "body").mapInArrow(send_prefixes(parts, size, percent, table), X.PACKED)
-    met = settled(X.deal(prefixes, parts).mapInArrow(meet(FEW), "t long, a long, b long, a_n long, b_n long, shared long"), "met")
-    crowd = met.where("t is not null").select("t", F.col("a").alias("s"), F.col("a_n").alias("n"), F.col("shared").alias("place"))
-    crowded = crowd.select("s").distinct()
-    # a pair's count is whole unless both meet in a crowd too
-    counted = met.where("t is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-    for side in "ab":
-        counted = counted.join(crowded.select(F.col("s").alias(side), F.lit(True).alias(f"{side}_in")), side, "left")
-    total, longest = F.col("a_n") + F.col("b_n"), F.greatest("a_n", "b_n")
-    rest = F.ceil(longest * percent / 100) - 1
-    enough = (F.col("shared") + rest) * (100 + percent) >= total * percent
-    unsure = F.coalesce(F.col("a_in") & F.col("b_in"), F.lit(False))
-    direct = settled(counted.where((F.least("a_n", "b_n") * 100 >= longest * percent) & (enough | unsure)).select("a", "b", "a_n", "b_n"), "direct")
-
-    possible = direct.select(F.col("a").alias("s")).unionByName(direct.select(F.col("b").alias("s"))).unionByName(crowded).distinct()
-    chosen = classes.join(possible, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", *_SKETCH), "k").alias("x")).select("s", "x.*")
-    chosen = settled(chosen, "chosen")
-    n_chosen = chosen.count()
-    wanted = chosen.select("k")
-    if n_chosen <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-
-    def whole(batches):
-        ranks = table.value
-        for batch in batches:
-            for _, _, data, offs in K.slices(batch.column(0).cast(pa.large_binary()).cast(pa.large_string())):
-                sets = shingles(data, offs, size)
-                own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], names=["s", "elements"])
-
-    sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary"), "sets")
-    if sets.count() > n_chosen:  # equal rows
-        sets = settled(sets.dropDuplicates(["s"]), "sets")
-    narrow = settled(chosen.select("s", *_SKETCH), "sketches")
-
-    def sketched(d: DataFrame, side: str, key: str | None = None) -> DataFrame:
-        return d.join(narrow.select(F.col("s").alias(key or side), *(F.col(q).alias(f"{side}_{q}" if key is None else q) for q in _SKETCH)), key or side)
-
-    direct = settled(sketched(sketched(direct, "a"), "b").where(suffix_passes(percent)).select("a", "b", "a_n", "b_n"), "alike")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("s").alias(side), F.col("elements").alias(f"{side}_set")), side)
-        return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare(percent), "a long, b long")
-
-    def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Pairs whose classes are not known to be of one component."""
-        if labels is None:
-            return pairs
+    def labelled() -> DataFrame:
+        """(node, label) of each class that is linked, but the least of its component."""
+        prefixes = rows.select("k", "body").mapInArrow(send_prefixes(parts, size, percent, table), X.PACKED)
+        met = settled(X.deal(prefixes, parts).mapInArrow(meet(FEW), "t long, a long, b long, a_n long, b_n long, shared long"), "met")
+        crowd = met.where("t is not null").select("t", F.col("a").alias("s"), F.col("a_n").alias("n"), F.col("shared").alias("place"))
+        crowded = crowd.select("s").distinct()
+        # a pair's count is whole unless both meet in a crowd too
+        counted = met.where("t is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
         for side in "ab":
-            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l")), side, "left")
-        return pairs.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "a_n", "b_n")
-
-    def least_of(rows_: DataFrame, order) -> DataFrame:
-        """(t, h): the least row of each of HUBS parts of an n-gram's classes."""
-        salted = rows_.groupBy("t", F.pmod(F.xxhash64("s", F.lit("hub")), F.lit(HUBS)).alias("salt")).agg(F.min(order).alias("h"))
-        return salted.select("t", "h")
-
-    def pair(left: DataFrame, right: DataFrame, more, whole: bool = True) -> DataFrame:
-        """Distinct pairs, with sizes, that pass the filters; left and right hold (t, s, n, place, label)."""
-        l, r = (d.select("t", *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label", *_SKETCH))) for d, side in ((left, "a"), (right, "b")))
-        # a star's meeting is by chance: only whole joins may ask for a place in the prefix
-        both = l.join(r, "t").where(more & (passes(percent) if whole else F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & suffix_passes(percent))
-        return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), (F.col("a_n") + F.col("b_n")).alias("total"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-
-    labels = edges = tried = None
-    has_crowd = bool(crowd.head(1))
-    for turn in range(STARS + 1):
-        pairs = None
-        if turn < 2:  # of the direct pairs first one for each class, then those that are still apart
-            least = direct.groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n"), "a").alias("x"))
-            pairs = least.select("x.a", "b", "x.a_n", "x.b_n") if turn == 0 else apart(direct, labels)
-        if has_crowd:
-            now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
-            if turn < STARS:
-                # each class goes with one of its n-grams, near copies mostly with the same; the hubs of an
-                # n-gram are its classes of the least mixed hashes; both are others in the next round
-                row = F.struct("t", "n", "place", "label")
-                own = sketched(now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*"), "", "s")
-                order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label", *_SKETCH)
-                spread = own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
-                hub = least_of(own.join(spread, "t", "left_semi"), order).select("t", "h.*")
-                more = pair(hub, own, F.col("a_label") != F.col("b_label"), whole=False)
-            else:
-                spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
-                open_ = sketched(now.join(spread, "t", "left_semi"), "", "s")
-                more = pair(open_, open_, (F.col("a_label") != F.col("b_label")) & (F.col("a_s") < F.col("b_s")))
-            pairs = more if pairs is None else pairs.unionByName(more).dropDuplicates(["a", "b"])
-        if pairs is None:
-            break
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        if not pairs.head(1):
-            continue
-        found = settled(linked(pairs), "links")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-
-    named = classes
-    if labels is not None:
-        named = classes.join(labels.select(F.col("node").alias("s"), "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
-    else:
-        named = classes.withColumn("c", F.col("s"))
+            counted = counted.join(crowded.select(F.col("s").alias(side), F.lit(True).alias(f"{side}_in")), side, "left")
+        total, longest = F.col("a_n") + F.col("b_n"), F.greatest("a_n", "b_n")
+        rest = F.ceil(longest * percent / 100) - 1
+        enough = (F.col("shared") + rest) * (100 + percent) >= total * percent
+        unsure = F.coalesce(F.col("a_in") & F.col("b_in"), F.lit(False))
+        direct = settled(counted.where((F.least("a_n", "b_n") * 100 >= longest * percent) & (enough | unsure)).select("a", "b", "a_n", "b_n"), "direct")
+
+        possible = direct.select(F.col("a").alias("s")).unionByName(direct.select(F.col("b").alias("s"))).unionByName(crowded).distinct()
+        chosen = classes.join(possible, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("k", "n", *_SKETCH), "k").alias("x")).select("s", "x.*")
+        chosen = settled(chosen, "chosen")
+        n_chosen = chosen.count()
+        wanted = chosen.select("k")
+        if n_chosen <= BROADCAST_KEYS:
+            wanted = F.broadcast(wanted)
+
+        def whole(batches):
+            ranks = table.value
+            for batch in batches:
+                for _, _, data, offs in K.slices(batch.column(0).cast(pa.large_binary()).cast(pa.large_string())):
+                    sets = shingles(data, offs, size)
+                    own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], names=["s", "elements"])
+
+        sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary"), "sets")
+        if sets.count() > n_chosen:  # equal rows
+            sets = settled(sets.dropDuplicates(["s"]), "sets")
+        narrow = settled(chosen.select("s", *_SKETCH), "sketches")
+
+        def sketched(d: DataFrame, side: str, key: str | None = None) -> DataFrame:
+            return d.join(narrow.select(F.col("s").alias(key or side), *(F.col(q).alias(f"{side}_{q}" if key is None else q) for q in _SKETCH)), key or side)
+
+        direct = settled(sketched(sketched(direct, "a"), "b").where(suffix_passes(percent)).select("a", "b", "a_n", "b_n"), "alike")
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            for side in "ab":
+                pairs = pairs.join(sets.select(F.col("s").alias(side), F.col("elements").alias(f"{side}_set")), side)
+            return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare(percent), "a long, b long")
+
+        def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+            """Pairs whose classes are not known to be of one component."""
+            if labels is None:
+                return pairs
+            for side in "ab":
+                pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l")), side, "left")
+            return pairs.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "a_n", "b_n")
+
+        def least_of(rows_: DataFrame, order) -> DataFrame:
+            """(t, h): the least row of each of HUBS parts of an n-gram's classes."""
+            salted = rows_.groupBy("t", F.pmod(F.xxhash64("s", F.lit("hub")), F.lit(HUBS)).alias("salt")).agg(F.min(order).alias("h"))
+            return salted.select("t", "h")
+
+        def pair(left: DataFrame, right: DataFrame, on: list[str], more) -> DataFrame:
+            """Distinct pairs, with sizes, that pass the filters; left and right hold (on, s, n, place, label)."""
+            l, r = (d.select(*on, *(F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "place", "label", *_SKETCH))) for d, side in ((left, "a"), (right, "b")))
+            both = l.join(r, on).where((F.col("a_label") != F.col("b_label")) & more & suffix_passes(percent))
+            return both.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b"), F.col("a_n"), F.col("b_n")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+
+        def all_pairs(rows_: DataFrame) -> DataFrame:
+            """Pairs of all classes that meet at an n-gram: the smaller's shorter prefix against the other's whole one.
+
+            Classes meet by n-gram and length: a bin of lengths reaches to those
+            that are similar enough, so a class asks its own bin and the next. An
+            n-gram of many classes is dealt on: the indexed side by a hash into
+            parts of about CROWD classes, the asking side to each of them.
+            """
+            step = math.log(100 / percent) or 1.0
+            bins = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+            index = rows_.where(indexed(percent)).withColumn("bin", bins)
+            crowds = index.groupBy("t", "bin").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("ways"))
+            index = index.join(crowds, ["t", "bin"]).withColumn("way", F.pmod(F.xxhash64("s", F.lit("way")), F.col("ways")).cast("int")).drop("ways")
+            # a smaller set lies in the bin of the larger or in one of the two below: rounding may move a bound by one
+            asking = rows_.withColumn("bin", F.explode(F.array(bins, bins - 1, bins - 2))).join(crowds, ["t", "bin"])
+            asking = asking.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+            smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_s") < F.col("b_s")))
+            return pair(sketched(index, "", "s"), sketched(asking, "", "s"), ["t", "bin", "way"], smaller & passes(percent))
+
+        labels = edges = tried = None
+        has_crowd = bool(crowd.head(1))
+        for turn in range(STARS + 1):
+            pairs = None
+            if turn < 2:  # of the direct pairs first one for each class, then those that are still apart
+                least = direct.groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n"), "a").alias("x"))
+                pairs = least.select("x.a", "b", "x.a_n", "x.b_n") if turn == 0 else apart(direct, labels)
+            if has_crowd:
+                now = crowd.withColumn("label", F.col("s")) if labels is None else crowd.join(labels.select(F.col("node").alias("s"), F.col("label").alias("l")), "s", "left").withColumn("label", F.coalesce("l", "s")).drop("l")
+                if turn < STARS:
+                    # each class goes with one of its n-grams, near copies mostly with the same; the hubs of an
+                    # n-gram are its classes of the least mixed hashes; both are others in the next round
+                    row = F.struct("t", "n", "place", "label")
+                    own = sketched(now.groupBy("s").agg(F.min_by(row, F.xxhash64("t", F.lit(turn))).alias("x")).select("s", "x.*"), "", "s")
+                    order = F.struct(F.xxhash64("s", F.lit(turn)), "s", "n", "place", "label", *_SKETCH)
+                    spread = own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
+                    hub = least_of(own.join(spread, "t", "left_semi"), order).select("t", "h.*")
+                    # a star's meeting is by chance: only joins of all classes may ask for a place in the prefix
+                    more = pair(hub, own, ["t"], length_passes(percent))
+                else:
+                    spread = now.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t")
+                    more = all_pairs(settled(now.join(spread, "t", "left_semi"), "open"))
+                pairs = more if pairs is None else pairs.unionByName(more).dropDuplicates(["a", "b"])
+            if pairs is None:
+                break
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = settled(pairs, "pairs")
+            if not pairs.head(1):
+                continue
+            found = settled(linked(pairs), "links")
+            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
+        return spark.createDataFrame([], "node long, label long") if labels is None else labels
+
+    labels = finished(labelled, "labels")
+    named = classes.join(labels.select(F.col("node").alias("s"), "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
     return named.select("k", "id", "n", "c")
 
 

@@ -287,11 +287,52 @@ def batches_of(text: np.ndarray, counts: np.ndarray, width: int):
         i = j
 
 
-def feed(index: Levels, raws: list[np.ndarray], found: list[tuple], width: int) -> None:
-    """The texts of the last payloads, as batches."""
-    counts = np.concatenate([f[3] for f in found[-len(raws) :]])
-    for data, starts in batches_of(np.concatenate(raws), counts, width):
-        index.add(data, starts)
+class Pieces:
+    """The distinct pieces of text of a part, fed to the family in batches; equal ones stand for each other.
+
+    A passage that documents share is cut into the same pieces wherever it is,
+    so its copies cost a look-up each and its suffixes are indexed once.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.index = width, Levels(width)
+        self.codes: dict[bytes, int] = {}
+        self.counts: list[int] = []
+        self.new: list[bytes] = []
+        self.waiting = 0
+
+    def add(self, text: bytes, counts: np.ndarray) -> np.ndarray:
+        """The code of each piece; the i-th holds counts[i] suffixes."""
+        out, at = np.empty(len(counts), np.int64), 0
+        for i, n in enumerate(counts.tolist()):
+            piece = text[at : at + n + self.width - 1]
+            at += len(piece)
+            code = self.codes.setdefault(piece, len(self.codes))
+            if code == len(self.counts):
+                self.counts.append(n)
+                self.new.append(piece)
+                self.waiting += n
+            out[i] = code
+        if self.waiting >= BATCH:
+            self.feed()
+        return out
+
+    def feed(self) -> None:
+        if self.new:
+            counts = np.array(self.counts[-len(self.new) :], np.int64)
+            for data, starts in batches_of(np.frombuffer(b"".join(self.new), np.uint8), counts, self.width):
+                self.index.add(data, starts)
+        self.new, self.waiting = [], 0
+
+    def marks(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each suffix of the pieces of these codes, all that were added, occurs twice or more."""
+        self.feed()
+        again, counts = self.index.marks(), np.array(self.counts, np.int64)
+        first = np.cumsum(counts) - counts
+        size = counts[codes]
+        twice = np.bincount(codes, minlength=len(counts)) > 1
+        at = np.repeat(first[codes] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return again[at] | np.repeat(twice[codes], size)
 
 
 def note_suffixes(parts: int, width: int):
@@ -300,18 +341,12 @@ def note_suffixes(parts: int, width: int):
     def run(batches):
         out = X.Sender(parts)
         for blobs in X.by_part(batches):
-            index, found, raws, counted = Levels(width), [], [], 0
+            pieces, found, codes = Pieces(width), [], []
             for blob in blobs:
                 key, key2, low, count, text = X.unpack(blob)
                 found.append((key, key2, low, count))
-                raws.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes()), np.uint8))
-                counted += int(count.sum())
-                if counted >= BATCH:
-                    feed(index, raws, found, width)
-                    raws, counted = [], 0
-            if raws:
-                feed(index, raws, found, width)
-            again = index.marks()
+                codes.append(pieces.add(zstandard.ZstdDecompressor().decompress(text.tobytes()), count))
+            again = pieces.marks(np.concatenate(codes))
             key, key2, low, count = (np.concatenate(x) for x in zip(*found, strict=True))
             begin = np.cumsum(count.astype(np.int64)) - count
             edge = np.zeros(len(again) + 1, bool)

@@ -1,10 +1,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from veilcheck.functions.options import max_results, options, parse_kind, resolve_format, typed
-from veilcheck.operators.kernel import Text, examine, is_single_script
+from veilcheck.operators import kernel
+from veilcheck.operators.kernel import Text, examine, examine_texts, is_single_script, slices
 from veilcheck.operators.keypaths import json_escapes, key_at, key_spans
 
 
@@ -155,3 +157,28 @@ def test_time_is_linear_in_one_line(tables):
         return best
 
     assert took(8000) <= 8 * max(took(2000), 0.01)
+
+
+def test_slices_give_what_texts_give_alone(tables, monkeypatch):
+    """Texts of all kinds and formats end to end, cut at several places, nulls and empty texts among them."""
+    rng = random.Random(8)
+    pool = ["a", "b c", "\u0430", "\u03bf", "\u6587", "\u202e", "\n", " ", "e\u0301", "\U0001d41a", "_", "1", "\uff26", "\u200d", "\ufeff", "\u0378", '{"k\u00e9": ["', '"]}', "\\n", "a=", "\r\n", "- x: ", "[s]"]
+    formats = ["text", "json", "yaml", "env", "ini", "toml", "csv", "tsv"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) + " plain" * rng.randint(0, 40) for _ in range(300)] + [None, "", "\ufeff", "\ufeff\ufeffx", "\u0301"]
+    named = [rng.choice(formats) for _ in texts]
+    for kinds, scripts, size in (((), (), 1 << 20), ((), ("Cyrillic", "Han"), 700), (("bidi", "nfc"), (), 50), (("mixed", "confusable"), ("Greek",), 3000)):
+        monkeypatch.setattr(kernel, "SLICE_BYTES", size)
+        asked, got = options(tables, kinds, scripts), []
+        column = pa.array(["out of sight", *texts])[1:]
+        for lo, hi, held in slices(column, tables):
+            bounds, columns, refused = examine_texts(held, named[lo:hi], asked)
+            rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+            got += [(rows[a:b], refused.get(d)) for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        assert got == [examine(t or "", f, asked, tables) for t, f in zip(texts, named, strict=True)]
+
+
+def test_bytes_that_are_not_utf8_are_replaced(tables):
+    column = pa.array([b"a\xff\xe2\x80\xaeb", "\u202ex".encode()]).view(pa.string())
+    (_, _, held), = slices(column, tables)
+    bounds, columns, _ = examine_texts(held, ["text", "text"], options(tables, ["bidi"]))
+    assert bounds.tolist() == [0, 1, 2] and columns[4].to_pylist() == [4, 0]

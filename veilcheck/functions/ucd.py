@@ -40,6 +40,8 @@ HAZARDS = ("", "bidi-control", "invisible", "unusual-whitespace", "unassigned-or
 
 COMMON, INHERITED, UNKNOWN, LATIN = 0, 1, 2, 3
 ALPHABETIC, NUMERIC, WHITE, COMBINING, WORD = 1, 2, 4, 8, 16
+#: What NFC may change, alone or beside others.
+RESHAPED = 32
 
 
 @dataclass
@@ -92,7 +94,7 @@ def build(spark: SparkSession) -> Tables:
         for spelt in (name, codes[name]):
             tags[spelt.lower().replace("-", "_")] = name
     flags = np.zeros(SIZE, np.uint8)
-    for pattern, flag in (("[:Alphabetic:]", ALPHABETIC), ("[[:Nd:][:Nl:][:No:]]", NUMERIC), ("[:White_Space:]", WHITE), ("[:^ccc=0:]", COMBINING)):
+    for pattern, flag in (("[:Alphabetic:]", ALPHABETIC), ("[[:Nd:][:Nl:][:No:]]", NUMERIC), ("[:White_Space:]", WHITE), ("[:^ccc=0:]", COMBINING), ("[[:^ccc=0:][:NFC_QC=No:][:NFC_QC=Maybe:]]", RESHAPED)):
         for a, b in of(pattern):
             flags[a : b + 1] |= flag
     flags[(flags & (ALPHABETIC | NUMERIC)) > 0] |= WORD

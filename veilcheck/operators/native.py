@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructType
 from ..functions.expressions import code_point, u_render, utf16_units
 from ..functions.shipping import ship
 from ..functions.ucd import BIDI, INVISIBLE, SEVERITY, SPACES, hazard_class, shared, unknown
-from .kernel import Text, survey
+from .kernel import slices, surveys
 
 KINDS = ("bidi-control", "invisible", "unusual-whitespace", "unassigned-or-private-use")
 
@@ -73,14 +74,15 @@ def surveyed(docs: DataFrame, *keep: str, text_col: str = "text", scripts=()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables.value
+        wanted = np.array([not only or s in only for s in t.scripts])
+        names = pa.array(t.scripts)
         for batch in batches:
-            out = []
-            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                letters, found = survey(Text(text, t))
-                out += [(i, letters, s, n) for s, n in found.items() if not only or s in only]
-            at, letters, script, n = zip(*out, strict=True) if out else ((),) * 4
-            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(letters, pa.int64()), pa.array(script, pa.string()), pa.array(n, pa.int64())], names=[*keep, "letters", "script", "n"])
+            for lo, _, texts in slices(batch.column(len(keep)), t):
+                letters, at, script, n = surveys(texts)
+                some = wanted[script]
+                at, script, n = at[some], script[some], n[some]
+                own = [batch.column(k).take(pa.array(at + lo)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(letters[at]), names.take(pa.array(script)), pa.array(n)], names=[*keep, "letters", "script", "n"])
 
     more = StructType().add("letters", "long").add("script", "string").add("n", "long")
     return rows.mapInArrow(run, StructType([*rows.schema.fields[: len(keep)], *more.fields]))

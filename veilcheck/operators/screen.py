@@ -17,13 +17,11 @@ from ..functions.options import Options, options
 from ..functions.shipping import ship
 from ..functions.ucd import shared
 from .formats import format_column
-from .kernel import examine
+from .kernel import FIELDS, examine_texts, slices
 
 FINDING = "kind string, severity string, line long, column long, offset long, key string, codepoints array<string>, scripts array<string>, resembles array<string>, detail string"
 REFUSAL = "reason string, detail string"
 CONTEXT = "intentional_script_context"
-_NAMES = ["kind", "severity", "line", "column", "offset", "key", "codepoints", "scripts", "resembles", "detail"]
-_FINDING = pa.struct([(n, pa.int64() if n in ("line", "column", "offset") else pa.list_(pa.string()) if n in ("codepoints", "scripts", "resembles") else pa.string()) for n in _NAMES])
 _REFUSAL = pa.struct([("reason", pa.string()), ("detail", pa.string())])
 
 
@@ -34,16 +32,12 @@ def examined(docs: DataFrame, id_col: str, text_col: str, asked: Options, format
     rows = docs.where(F.col(text_col).rlike("[^\\x00-\\x7F]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit("text") if format is None else format).alias("format"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                found, refused = [], []
-                for text, name in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    findings, why = examine(text, name, asked, t)
-                    found.append([dict(zip(_NAMES, f, strict=True)) for f in findings])
-                    refused.append([] if why is None else [{"reason": CONTEXT, "detail": why}])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(_FINDING)), pa.array(refused, pa.list_(_REFUSAL))], names=["id", "findings", "refusals"])
+            for lo, hi, texts in slices(batch.column(1), tables.value):
+                bounds, columns, refused = examine_texts(texts, batch.column(2)[lo:hi].to_pylist(), asked)
+                findings = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, names=list(FIELDS)))
+                why = pa.array([[{"reason": CONTEXT, "detail": refused[d]}] if d in refused else [] for d in range(hi - lo)], pa.list_(_REFUSAL))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], findings, why], names=["id", "findings", "refusals"])
 
     return rows.mapInArrow(run, f"id {kind}, findings array<struct<{_fields(FINDING)}>>, refusals array<struct<{_fields(REFUSAL)}>>")
 

@@ -45,7 +45,7 @@ def test_empty_table(spark, docs):
 
 
 def test_caps(docs):
-    found = screen(docs)
+    found = file_reports(docs)
     assert {(r.doc_id, r.truncated) for r in report.capped(found, 2).collect()} == {(3, True), (4, False), (6, False), (7, True)}
     assert [r.place for r in report.capped_over_files(found, 4).orderBy("place").collect()] == [1, 2, 3, 4]
 
@@ -111,8 +111,34 @@ def test_walk_and_read(spark, tmp_path):
     assert names == [".gitignore", ".hidden", "a.md", "a/.ignore", "a/b.md", "a/b/z [1].md", "k.log", "link.md", "p%20+q.txt", "secret.txt"] and listed.ignored == 1
     assert files.listing(str(tmp_path), most=3).limit_reached and files.listing(str(tmp_path), default_excludes=False, respect_ignore=False).ignored == 0
     assert files.stdin(spark, b"a\xc3\xa9").first().text == "a\u00e9"
-    assert report.scan_counts(files.read_for_editor(spark, found, 1)).first().asDict() == {"read": 3, "too_large": 1, "not_text": 1}
+    assert report.scan_counts(files.read_for_editor(spark, found, 1)).first().asDict() == {"read": 3, "too_large": 1, "not_text": 1, "unreadable": 0, "ignored": 0, "limit_reached": False}
     assert files.read_folder(spark, str(tmp_path), "*.md").count() >= 3
+    # names that Spark's own source passes over, and a store by its URI
+    (tmp_path / "__init__.py").write_text("a\u200b")
+    hidden = [str(tmp_path / n) for n in (".hidden", "__init__.py", "gone.txt")]
+    got = {os.path.basename(r.file): r for r in files.read_files(spark, hidden).collect()}
+    assert got[".hidden"].text == "h" and got["__init__.py"].text == "a\u200b" and got["gone.txt"].reason and got["gone.txt"].text is None
+    assert report.scan_counts(files.read_for_editor(spark, hidden, 100), ignored=2, limit_reached=True).first().asDict() == {"read": 2, "too_large": 0, "not_text": 0, "unreadable": 1, "ignored": 2, "limit_reached": True}
+    root = f"file://{tmp_path}"
+    there = files.walk(root, spark=spark)
+    assert [f.removeprefix(root + "/") for f in there] == ["__init__.py", *(os.path.relpath(f, tmp_path) for f in found)]
+    assert sorted(r.text or "" for r in files.read_folder(spark, root, options=files.Walk()).collect()) == sorted(["a\u200b", "x\u202e", "y", "", "k", "p"])
+
+
+def test_inventory_is_judged_as_a_tree_is(spark, tmp_path):
+    rules = "*.log\n!keep.log\nout/\n/top\n# a\na/**/z\n"
+    names = ["x.log", "keep.log", "a/x.log", "out/keep.log", "b/out/f", "top", "c/top", "a/b/z", "a/z/q", "p.png", "node_modules/m.js", "q.min.js", "r.js", ".hidden", "out.txt"]
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text(rules)
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    (tmp_path / ".git").rmdir()
+    (tmp_path / ".git").mkdir()
+    listed = files.listing(str(tmp_path), always=("a/x.log",))
+    got = {r.path: r.state for r in files.listed(spark.createDataFrame([(n,) for n in names], "path string"), always=("a/x.log",), rules=rules).collect()}
+    assert {n for n, s in got.items() if s == "listed"} == {os.path.relpath(f, tmp_path) for f in listed.files} - {".gitignore"}
+    assert sum(s == "ignored" for s in got.values()) == listed.ignored and got["p.png"] == got["q.min.js"] == "left-out"
 
 
 def test_sql_functions(spark, docs):
@@ -137,3 +163,16 @@ def test_filters_reach_the_scan(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     plan = screen(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
+
+
+def test_a_store_by_its_uri(spark, tmp_path):
+    """Hadoop's file systems list and read what the local disk does."""
+    from veilcheck.sources.stores import Hadoop, Local
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/_b.txt").write_text("\u00e9")
+    there, here, root = Hadoop(spark), Local(), f"file://{tmp_path}"
+    assert sorted(there.entries(root)) == sorted(here.entries(root)) == [("a", "folder")]
+    assert there.text(f"{root}/a/_b.txt") == here.text(f"{root}/a/_b.txt") == "\u00e9" and there.content(f"{root}/a/_b.txt") == "\u00e9".encode()
+    assert there.text(f"{root}/none") is here.text(f"{root}/none") is None and there.why_not(f"{root}/none") and there.why_not(f"{root}/a/_b.txt") is None
+    assert there.is_folder(f"{root}/a") and not there.exists(f"{root}/none") and there.whole(root + "/") == root

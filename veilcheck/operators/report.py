@@ -31,24 +31,35 @@ def exit_code(fail_on: str = "any", strict: bool = False) -> Column:
     return F.when(F.lit(strict) & (F.col("refusals") > 0), 2).when(counted > 0, 1).otherwise(0)
 
 
-def capped(findings: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The first `most` findings of each document, with its count and whether some were left out."""
-    n = F.count("*").over(W.partitionBy(id_col))
-    return findings.withColumn("n_found", n).where(F.col("seq") < most).withColumn("truncated", F.col("n_found") > most)
+def capped(files: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """The first `most` findings of each document of file_reports(), a row each, with the document's count and whether some were left out. No shuffle."""
+    first = files.where("n_findings > 0").select(id_col, F.col("n_findings").alias("n_found"), F.posexplode(F.slice("findings", 1, most)).alias("seq", "f"))
+    return first.select(id_col, "seq", "f.*", "n_found", (F.col("n_found") > most).alias("truncated"))
 
 
-def capped_over_files(findings: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The first `most` findings in order of documents, the crossing one cut.
+def capped_over_files(files: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """The first `most` findings of file_reports() in order of documents, the crossing one cut.
 
-    Counts of documents are summed in order, so the one ordered window sees a
-    row for each document with findings that the limit leaves, not findings.
+    The `most` least ids of documents with findings hold them all; of each no
+    more than `most` are kept. So the one ordered window sees that many rows,
+    and texts are examined once.
     """
-    counts = findings.groupBy(id_col).count().orderBy(id_col).limit(most)
-    before = F.coalesce(F.sum("count").over(W.orderBy(id_col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = counts.withColumn("before", before).where(F.col("before") < most)
-    return findings.join(F.broadcast(first.select(id_col, "before")), id_col).withColumn("place", F.col("before") + F.col("seq") + 1).where(F.col("place") <= most).drop("before")
+    first = files.where("n_findings > 0").select(id_col, "n_findings", F.slice("findings", 1, most).alias("findings")).orderBy(id_col).limit(most)
+    before = F.coalesce(F.sum("n_findings").over(W.orderBy(id_col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = first.withColumn("before", before).where(F.col("before") < most)
+    each = held.select(id_col, "before", F.posexplode("findings").alias("seq", "f"))
+    return each.select(id_col, "seq", "f.*", (F.col("before") + F.col("seq") + 1).alias("place")).where(F.col("place") <= most)
 
 
-def scan_counts(files: DataFrame) -> DataFrame:
-    """One row of counters over sources.files.read_for_editor(): read, too_large, not_text."""
-    return files.agg(*(F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in ("read", "too-large", "not-text")))
+def header_totals(files: DataFrame) -> DataFrame:
+    """One row over file_reports(): findings, files, and files with a refusal."""
+    return files.agg(F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings"), F.count("*").alias("files"), F.count_if(F.col("n_refusals") > 0).alias("refused"))
+
+
+STATES = ("read", "too-large", "not-text", "unreadable")
+
+
+def scan_counts(files: DataFrame, ignored: int = 0, limit_reached: bool = False) -> DataFrame:
+    """One row of counters over sources.files.read_for_editor(): read, too_large, not_text, unreadable; and what the listing says: ignored, limit_reached."""
+    counts = (F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in STATES)
+    return files.agg(*counts).select("*", F.lit(ignored).cast("long").alias("ignored"), F.lit(limit_reached).alias("limit_reached"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .stores import Local, Store
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -67,6 +71,22 @@ def verdict(rules: list[Rule], path: str, folder: bool) -> bool | None:
     return None
 
 
+def ignored_column(path: Column, rules: str) -> Column:
+    """Whether the rules of a root leave out a path below it: the last rule that fits decides, and a folder that is out takes all in it along."""
+    parsed = parse(rules)
+
+    def last(p: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for rule in parsed:
+            if folder or not rule.folders_only:
+                out = F.when(p.rlike(f"\\A(?:{rule.pattern.pattern})\\z"), F.lit(not rule.negated)).otherwise(out)
+        return out
+
+    names = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), lambda n: F.array_join(F.slice(names, 1, n), "/"))
+    return F.when(F.size(names) > 1, F.exists(folders, lambda p: last(p, True))).otherwise(F.lit(False)) | last(path, False)
+
+
 class Ignore:
     """The rules of a tree, folder by folder; an ignored folder is final.
 
@@ -74,34 +94,31 @@ class Ignore:
     with an opinion wins; then the repository's exclude file, then the user's.
     """
 
-    def __init__(self, root: str, names=(".ignore", ".gitignore"), fallback=(".git/info/exclude",), user: str | None = None):
-        self.root, self.names = os.path.abspath(root), names
+    def __init__(self, root: str, names=(".ignore", ".gitignore"), fallback=(".git/info/exclude",), user: str | None = None, store: Store | None = None):
+        self.store = store or Local()
+        self.root, self.names = self.store.whole(root), names
         self.inside = self._is_repository()
-        extra = [os.path.join(self.root, f) for f in fallback if self.inside] + ([user] if user and self.inside else [])
+        extra = [f"{self.root}/{f}" for f in fallback if self.inside] + ([user] if user and self.inside else [])
         self.extra = [self._load(p) for p in extra]
         self.rules: dict[str, list[list[Rule]]] = {}
         self.known: dict[str, bool] = {"": False}
 
     def _is_repository(self) -> bool:
         at = self.root
-        while True:
-            if os.path.exists(os.path.join(at, ".git")):
+        while at:
+            if self.store.exists(f"{at}/.git"):
                 return True
-            if at == os.path.dirname(at):
-                return False
-            at = os.path.dirname(at)
+            above = at.rpartition("/")[0]
+            at = "" if above.endswith(("/", ":")) else above
+        return False
 
     def _load(self, path: str) -> list[Rule]:
-        try:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                return parse(f.read())
-        except OSError:
-            return []
+        return parse(self.store.text(path) or "")
 
     def _of(self, folder: str) -> list[list[Rule]]:
         if folder not in self.rules:
             names = [n for n in self.names if n != ".gitignore" or self.inside]
-            self.rules[folder] = [self._load(os.path.join(self.root, folder, n)) for n in names]
+            self.rules[folder] = [self._load("/".join(x for x in (self.root, folder, n) if x)) for n in names]
         return self.rules[folder]
 
     def ignored(self, path: str, folder: bool = False) -> bool:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .functions.options import check_gate, parse_kind, parse_script
 from .functions.ucd import tables
 from .operators import report
-from .operators.screen import file_reports
 from .plans import sinks
+from .plans.trees import document, tree_reports
 from .sources import files
 
 
@@ -73,17 +73,10 @@ def scan(spark: SparkSession, asked: Arguments, content: bytes = b"") -> tuple[d
     if asked.stdin:
         read = files.stdin(spark, content)
     else:
-        read = files.read_files(spark, files.collect(asked.inputs, files.Walk(asked.hidden, asked.respect_ignore)))
-    read = read.cache()
-    judged = file_reports(read.where("reason is null"), "file", "text", asked.kinds, scripts, filename=F.col("file"))
-    types = {f.name: f.dataType for f in judged.schema}
-    refusal = F.array(F.struct(F.col("reason"), F.col("refusal").alias("detail"))).cast(types["refusals"])
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    refused = read.where("reason is not null").select("file", F.array().cast(types["findings"]).alias("findings"), refusal.alias("refusals"), zero.alias("n_findings"), zero.alias("n_bidi"), one.alias("n_refusals"), F.lit(True).alias("unexamined"))
-    reports = judged.unionByName(refused).cache()
+        read = files.read_files(spark, files.collect(asked.inputs, files.Walk(asked.hidden, asked.respect_ignore), spark))
+    reports = tree_reports(read, asked.kinds, scripts).cache()
+    found_document = document(reports)
     total = report.run_summary(reports)
-    summary = total.first().asDict()
-    rows = sorted(sinks.json_rows(reports, "file").collect(), key=lambda r: files.path_key(r.file))
     lines = [r.l for r in reports.select("file", F.explode("refusals").alias("r")).select("file", "r.detail").orderBy("file").select(sinks.refusal_line(F.col("file")).alias("l")).collect()]
     found = reports.select("file", F.posexplode("findings").alias("seq", "f")).select("file", "seq", "f.*").orderBy(F.split("file", "/"), "seq")
     lines += [r.l for r in found.select(sinks.human_line(F.col("file")).alias("l")).collect()]
@@ -91,7 +84,8 @@ def scan(spark: SparkSession, asked: Arguments, content: bytes = b"") -> tuple[d
     if reports.where(F.exists("refusals", lambda r: r["reason"] == "intentional_script_context")).head(1):
         lines.append("name the expected script with --script to have those files judged too")
     code = total.select(report.exit_code(asked.fail_on, asked.strict)).first()[0]
-    return {"schema": summary.pop("schema"), "files": [json.loads(r.json) for r in rows], "summary": summary}, lines, code
+    reports.unpersist()
+    return found_document, lines, code
 
 
 def main(args: list[str] | None = None) -> int:

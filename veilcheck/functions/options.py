@@ -87,3 +87,8 @@ def resolve_format(format: str | None = None, filename: str | None = None) -> st
     base = filename.replace("\\", "/").rsplit("/", 1)[-1] if filename is not None else ""
     names = [format or "", base, base.rpartition(".")[2] if "." in base else ""]
     return next((f for f in map(known, names) if f != "text"), "text")
+
+
+def language_format(language: str | None, filename: str | None = None) -> str:
+    """An editor's hint: the document's language mode if it names a format, else its file's name."""
+    return resolve_format(language, filename)

@@ -33,3 +33,13 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(path))
     _done.add(context.applicationId)
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that all machines share: spark.checkpoint.dir; where it is unset, one of a local master's own."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:{tempfile.gettempdir()}/veilcheck-tables"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,15 @@ def planted(spark: SparkSession, sf_dir: str, table: str = "documents", id_col:
 
 def planted_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ("lang", "source")) -> str:
     return f"SELECT {', '.join((id_col, *more))}, {planting(id_col, text_col)} AS text FROM {table}"
+
+
+def _call(number: int, name: str, **arguments) -> str:
+    return json.dumps({"jsonrpc": "2.0", "id": number, "method": "tools/call", "params": {"name": name, "arguments": arguments}})
+
+
+#: Request lines, among them some that are none and some with several faults.
+REQUESTS = (
+    "{", "[]", '{"jsonrpc": "1.0", "id": 1, "method": "ping"}', '{"jsonrpc": "2.0", "id": 2, "method": "none"}', '{"jsonrpc": "2.0", "id": 3, "method": "ping"}', '{"jsonrpc": "2.0", "method": "ping"}', "  ",
+    _call(4, "other"), _call(5, "screen_text", maxResults=0), _call(6, "screen_text", content="x", maxResults=0, kinds=["no"]), _call(7, "screen_text", content="x", kinds=["no"]),
+    _call(8, "screen_text", content="\ud800"), _call(9, "screen_text", content="x"),
+)

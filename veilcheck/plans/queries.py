@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import escape_ascii, u_render
-from ..functions.ucd import PRIVATE
+from ..functions.expressions import escape_ascii, redacted, u_render
+from ..functions.options import check_gate, language_format, max_results, parse_kind, parse_script, typed
+from ..functions.shipping import scratch_dir
+from ..functions.sqlfuncs import register
+from ..functions.ucd import KINDS, PRIVATE, tables
 from ..operators import native, report
 from ..operators.formats import format_of
 from ..operators.keys import key_paths, keys_at
 from ..operators.screen import file_reports, refusals, screen
+from ..sources import files
 from ..sources.decode import decoded, first_invalid
+from ..sources.ignore import ignored_column
+from ..streaming.stream import screen_stream
 from . import sinks
-from .planted import planted
+from .planted import REQUESTS, planted, planting
+from .requests import TOOL, answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,12 +225,12 @@ def summary_line(spark, sf_dir):
 
 @query
 def top_findings_capped(spark, sf_dir):
-    return report.capped(screen(planted(spark, sf_dir), kinds=native.KINDS), 5).select("doc_id", "offset", "kind", "n_found", "truncated")
+    return report.capped(file_reports(planted(spark, sf_dir), kinds=native.KINDS), 5).select("doc_id", "offset", "kind", "n_found", "truncated")
 
 
 @query
 def results_cap_across_files(spark, sf_dir):
-    return report.capped_over_files(screen(planted(spark, sf_dir), kinds=native.KINDS), 1000).select("doc_id", "offset", "kind", "place")
+    return report.capped_over_files(file_reports(planted(spark, sf_dir), kinds=native.KINDS), 1000).select("doc_id", "offset", "kind", "place")
 
 
 @query
@@ -233,7 +241,7 @@ def ascii_escape(spark, sf_dir):
 @query
 def human_lines(spark, sf_dir):
     found = screen(planted(spark, sf_dir), kinds=["bidi"])
-    return found.select("doc_id", F.substring_index(sinks.human_line(F.concat(F.lit("dé/"), F.col("doc_id").cast("string"))), "  ", 2).alias("line"))
+    return found.select("doc_id", sinks.human_line(F.concat(F.lit("dé/"), F.col("doc_id").cast("string"))).alias("line"))
 
 
 @query
@@ -279,3 +287,195 @@ def _other(name: str, table: str, id_col: str, text_col: str) -> None:
 _other("pages_hazards", "pages", "page_id", "html")
 _other("conversations_hazards", "conversations", "conv_id", "text")
 _other("benchmark_hazards", "benchmark", "item_id", "text")
+
+
+# ---- findings whole
+
+
+@query
+def findings_in_order(spark, sf_dir):
+    found = screen(planted(spark, sf_dir))
+    return found.select("doc_id", "seq", "kind", "offset", F.array_join("codepoints", " ").alias("codepoint"), F.array_join("scripts", " ").alias("scripts"), F.array_join("resembles", " ").alias("resembles"), "detail")
+
+
+@query
+def refusal_lines(spark, sf_dir):
+    return refusals(planted(spark, sf_dir)).select("doc_id", sinks.refusal_line(F.concat(F.lit("d/"), F.col("doc_id").cast("string"))).alias("line"))
+
+
+@query
+def report_header(spark, sf_dir):
+    return sinks.markdown_header(file_reports(planted(spark, sf_dir)))
+
+
+@query
+def header_totals(spark, sf_dir):
+    return report.header_totals(file_reports(planted(spark, sf_dir)))
+
+
+# ---- structured texts of many shapes
+
+#: Sixteen customers as one JSON document, and as lines of CSV.
+TREE_TEXT = "'{\"group\": \"g' || doc_id || '\", \"customers\": [' || items || ']}'"
+ITEM = "'{\"id\": ' || c_custkey || ', \"tags\": [\"' || c_name || '\", \"' || c_mktsegment || '\"]}'"
+LINE = "c_custkey || ',\"' || c_name || ', x\",' || c_mktsegment || '\n'"
+
+
+def _groups(spark, sf_dir, item: str, between: str, text: str) -> DataFrame:
+    each = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey DIV 16 AS doc_id", "c_custkey", f"{item} AS item").groupBy("doc_id").agg(F.expr(f"array_join(transform(array_sort(collect_list(struct(c_custkey, item))), x -> x.item), '{between}') AS items"))
+    return each.selectExpr("doc_id", f"{text} AS text")
+
+
+@query
+def json_tree_keys(spark, sf_dir):
+    return key_paths(_groups(spark, sf_dir, ITEM, ", ", TREE_TEXT), "doc_id", "text", "json")
+
+
+@query
+def csv_table_keys(spark, sf_dir):
+    return key_paths(_groups(spark, sf_dir, LINE, "", "'id,name\n' || items"), "doc_id", "text", "csv")
+
+
+@query
+def tsv_table_keys(spark, sf_dir):
+    rows = _groups(spark, sf_dir, LINE, "", "'id,name\n' || items").selectExpr("doc_id", "replace(replace(text, ',', '\t'), '\t x', ', x') AS text")
+    return key_paths(rows, "doc_id", "text", "tsv")
+
+
+CRLF = "'A=' || c_name || '\r\nB = ' || c_mktsegment || ' # c\r\n\r\n'"
+_keys("crlf_keys", CRLF, "env")
+
+#: A JSON string with an escape before a Cyrillic letter, which a text reads as one word with the escape's letter.
+ESCAPED = "'{\"k\": \"\\\\n\u0430 and plain letters\", \"c\": \"' || c_name || '\"}'"
+
+
+@query
+def escaped_words(spark, sf_dir):
+    rows = _customers(spark, sf_dir, ESCAPED)
+    each = [report.by(screen(rows, format=f), "kind").withColumn("format", F.lit(f)) for f in ("json", "text")]
+    return each[0].unionByName(each[1])
+
+
+# ---- files as tables
+
+INVENTORY = "lower(p_type) || CASE p_size % 3 WHEN 0 THEN '/out/' WHEN 1 THEN '/a/b/' ELSE '/' END || replace(p_name, ' ', '_') || p_partkey || CASE p_size % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.min.js' WHEN 2 THEN '.png' ELSE '.txt' END"
+RULES = "*.log\n!*9.log\nout/\n/promo/*\n# none\n**/b/large_*\n"
+
+
+def _inventory(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{INVENTORY} AS path")
+
+
+@query
+def ignored_paths(spark, sf_dir):
+    return _inventory(spark, sf_dir).select("p_partkey", ignored_column(F.col("path"), RULES).alias("ignored"))
+
+
+@query
+def editor_listing(spark, sf_dir):
+    return files.listed(_inventory(spark, sf_dir), always=("promo/cold_*.txt",), excludes=("**/small_*",), rules=RULES).select("p_partkey", "state")
+
+
+def _contents(spark, sf_dir) -> DataFrame:
+    whens = " ".join(f"WHEN {k} THEN {v}" for k, v in BYTES.items())
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("CAST(doc_id AS STRING) AS file", f"CASE doc_id % 6 {whens} ELSE encode(text, 'utf-8') END AS content")
+    return rows.withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query
+def editor_states(spark, sf_dir):
+    return files.editor_states(_contents(spark, sf_dir), 2000).select("file", "state", F.octet_length("text").cast("long").alias("text_bytes"))
+
+
+@query
+def scan_counters(spark, sf_dir):
+    return report.scan_counts(files.editor_states(_contents(spark, sf_dir), 2000), ignored=3)
+
+
+# ---- settings, requests, streams and SQL
+
+
+@query
+def option_values(spark, sf_dir):
+    """What options make of what they are given, or that they refuse it."""
+    held = tables(spark)
+    asked = [("kind", n, parse_kind) for k in KINDS for n in (k[0], k[2])] + [("kind", "homoglyph", parse_kind)]
+    asked += [("script", n, lambda x: parse_script(x, held)) for n in ("cyrl", "Han", "old-persian", "Zyyy", "Klingon", " GREEK ")]
+    asked += [("results", n, max_results) for n in (None, 1, 9999, 3.0, 0, 2.5, "7", True)]
+    asked += [("gate", n, lambda x: check_gate(*x)) for n in (("any", ()), ("bidi", ("bidi-control",)), ("bidi", ("invisible",)), ("all", ()))]
+    asked += [("setting", n, lambda x: typed(*x)) for n in ((5, 1, 10), ("x", 7), (True, 1), ([1], ["a"]), (["b"], []))]
+    asked += [("format", n, lambda x: language_format(*x)) for n in (("jsonc", "a.txt"), ("plaintext", ".env"), (None, "b.yml"), ("latex", "c"))]
+    rows = []
+    for what, given, read in asked:
+        try:
+            rows.append((what, repr(given), str(read(given))))
+        except ValueError:
+            rows.append((what, repr(given), "refused"))
+    return spark.createDataFrame(rows, "what string, given string, result string")
+
+
+@query
+def request_replies(spark, sf_dir):
+    """The document tool's answers about planted documents, three findings of two kinds at most."""
+    ask = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit(TOOL).alias("name"), F.struct(F.col("text").alias("content"), F.array(F.lit("bidi"), F.lit("whitespace")).alias("kinds"), F.lit(3).alias("maxResults")).alias("arguments")).alias("params")))
+    reply = answers(planted(spark, sf_dir).select(ask.alias("value")))
+    got = lambda path: F.get_json_object("reply", f"$.{path}")
+    data = "result.structuredContent"
+    return reply.select(
+        got("id").cast("long").alias("doc_id"), got("result.isError").alias("failed"), got(f"{data}.ok").alias("ok"), got(f"{data}.meta.count").cast("long").alias("count"),
+        got(f"{data}.meta.truncated").alias("truncated"), got(f"{data}.data.findings[2].offset").cast("long").alias("third"), F.col("reply").rlike("[^\\x00-\\x7F]").alias("raw"),
+    )
+
+
+@query
+def request_errors(spark, sf_dir):
+    """Replies to lines that are no request, and to tools asked in the wrong way: of several faults the first counts."""
+
+    got = answers(spark.createDataFrame([(x,) for x in REQUESTS], "value string"))
+    json_of = lambda path: F.get_json_object("reply", f"$.{path}")
+    return got.select("value", json_of("id").alias("id"), json_of("error.code").alias("code"), json_of("result.isError").alias("failed"), F.regexp_extract(json_of("result.content[0].text"), "^(content|maxResults|unknown kind)", 1).alias("about"))
+
+
+@query
+def sanitised_errors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.selectExpr("c_custkey", "'at /home/' || c_name || '/x (token=' || c_custkey || ') of C:\\\\Users\\\\' || c_name || ' api-key: ' || c_mktsegment AS message").select("c_custkey", redacted(F.col("message")).alias("message"))
+
+
+@query
+def stream_findings(spark, sf_dir):
+    """The documents as a stream, screened and appended to a table, as finding_positions gives them in one go."""
+    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = rows.selectExpr("doc_id", f"{planting('doc_id', 'text')} AS text")
+    screen_stream(docs, f"{out}/rows", f"{out}/checkpoint", kinds=native.KINDS).awaitTermination()
+    schema = screen(docs, kinds=native.KINDS).schema
+    return _first(spark.read.schema(schema).parquet(f"{out}/rows")).drop("scripts")
+
+
+@query
+def sql_findings(spark, sf_dir):
+    register(spark)
+    planted(spark, sf_dir).createOrReplaceTempView("planted_documents")
+    return spark.sql("SELECT doc_id, f.line, f.column, f.offset, array_join(f.codepoints, ' ') AS codepoint, f.kind, f.severity FROM planted_documents, LATERAL unicode_findings(text, 'text', 'bidi,invisible,whitespace,unassigned', '') f")
+
+
+@query
+def sql_keys(spark, sf_dir):
+    register(spark)
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("structured_events")
+    return spark.sql("SELECT event_id, k.start, k.`end`, k.path FROM structured_events, LATERAL key_spans(props, 'json') k")
+
+
+@query
+def sql_escapes(spark, sf_dir):
+    register(spark)
+    _customers(spark, sf_dir, ESCAPED).createOrReplaceTempView("escaped_customers")
+    return spark.sql("SELECT doc_id, e.start, e.`end` FROM escaped_customers, LATERAL escape_spans(text) e")
+
+
+@query
+def sql_scalars(spark, sf_dir):
+    register(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("named_documents")
+    return spark.sql(f"SELECT doc_id, u_render(CAST(doc_id AS INT) + 65) AS rendered, escape_ascii('\u00e9' || doc_id) AS escaped, is_single_script(CASE doc_id % 3 WHEN 0 THEN 'ab' || doc_id WHEN 1 THEN 'a\u0430' END) AS single, resolve_format({FORMATS}, {NAMES}) AS reader FROM named_documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import escape_ascii
+from ..operators import report
 from ..operators.report import SCHEMA
 
 
@@ -74,16 +75,31 @@ def markdown_section(reports: DataFrame, file_col: str, positions: bool = True)
     return reports.where("n_findings > 0 or n_refusals > 0").select(file_col, F.array_join(F.concat(head, F.transform("findings", item), refused), "\n").alias("section"))
 
 
+def markdown_header(files: DataFrame) -> DataFrame:
+    """(header,): the head of a report over file_reports(), with its totals."""
+    said = F.format_string("%d findings in %d files; %d files not judged in full.", "findings", "files", "refused")
+    nothing = F.when((F.col("findings") == 0) & (F.col("refused") == 0), F.array(F.lit(""), F.lit("Nothing was found. That clears no text of what the tables do not know."))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.lit("# Screening report"), F.lit(""), said, F.lit(""), F.lit("> Characters are written as code points and never as themselves.")), nothing)
+    return report.header_totals(files).select(F.array_join(lines, "\n").alias("header"))
+
+
+def sorted_finding(f: Column) -> Column:
+    """A finding with empty lists left out, fields by name."""
+    some = lambda c: F.when(F.size(f[c]) > 0, f[c])
+    return F.struct(*(some(c).alias(c) if c in ("resembles", "scripts") else f[c].alias(c) for c in ("codepoints", "column", "detail", "key", "kind", "line", "offset", "resembles", "scripts", "severity")))
+
+
 def envelope(reports: DataFrame, id_col: str, tool: str, most: int) -> DataFrame:
-    """(id, reply): a reply for each document with at most `most` findings, ASCII; a refusal is a warning and never an error."""
-    warnings = F.transform("refusals", lambda r: F.struct(F.lit("warning").alias("severity"), r["reason"].alias("code"), r["detail"].alias("message")))
+    """(id, reply): a reply for each document with at most `most` findings, ASCII, keys in order. ok: no diagnostic is an error; a refusal is a warning."""
+    warnings = F.transform("refusals", lambda r: F.struct(r["reason"].alias("code"), r["detail"].alias("message"), F.lit("warning").alias("severity")))
+    held = reports.select(id_col, "findings", "n_findings", "refusals", warnings.alias("diagnostics"))
     reply = F.struct(
-        F.lit(True).alias("ok"),
-        F.struct(F.transform(F.slice("findings", 1, most), finding_json).alias("findings"), F.col("refusals")).alias("data"),
-        warnings.alias("diagnostics"),
-        F.struct(F.lit(tool).alias("tool"), F.least(F.col("n_findings"), F.lit(most)).alias("count"), (F.col("n_findings") > most).alias("truncated")).alias("meta"),
+        F.struct(F.transform(F.slice("findings", 1, most), sorted_finding).alias("findings"), F.transform("refusals", lambda r: F.struct(r["detail"].alias("detail"), r["reason"].alias("reason"))).alias("refusals")).alias("data"),
+        F.col("diagnostics"),
+        F.struct(F.least(F.col("n_findings"), F.lit(most)).alias("count"), F.lit(tool).alias("tool"), (F.col("n_findings") > most).alias("truncated")).alias("meta"),
+        (~F.exists("diagnostics", lambda d: d["severity"] == "error")).alias("ok"),
     )
-    return reports.select(id_col, escape_ascii(F.to_json(reply)).alias("reply"))
+    return held.select(id_col, escape_ascii(F.to_json(reply)).alias("reply"))
 
 
 def problems(findings: DataFrame, *keep: str) -> DataFrame:

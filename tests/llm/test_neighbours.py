@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from veilcheck.llm import neighbours
+from veilcheck.llm import neighbours, queries
 
 
 def nearest(spark, ids, x, asked, **how):
@@ -58,3 +61,29 @@ def test_recall_of_the_share_alone(spark):
         for least, got in found.items():
             recall[least] += len(best & {i for i, _ in got[q]}) / 20 / len(asked)
     assert recall[0] >= 0.9
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+def test_recall_over_all_queries(spark):
+    """The registered query over the whole table of sf0.1 against brute force."""
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got: dict = {}
+    for r in queries.op4_multi_index(spark, DATA).collect():
+        got.setdefault(r.query_id, []).append(r)
+    asked = ids[ids % 20 == 0]
+    assert sorted(got) == sorted(asked.tolist())
+    recall = 0.0
+    for q in asked.tolist():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        found = sorted(got[q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, 21)) and [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
+        assert all(abs(r.score - s[ids == r.vec_id][0]) < 1e-9 for r in found)
+        recall += len(best & {r.vec_id for r in found}) / 20 / len(asked)
+    print("recall", recall)
+    assert recall >= 0.9

@@ -67,6 +67,12 @@ COSTS, HOW = moves()
 END = np.array([0, 2 * INSERT, INSERT, 0], np.int64)
 
 
+def _left(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order, the longest first, and how many of them have a turn at each step."""
+    order = np.argsort(-sizes, kind="stable")
+    return order, len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(1, (sizes.max() if len(sizes) else 0) + 1))
+
+
 def _ways(roles: np.ndarray, sizes: np.ndarray, cost: np.ndarray, trace: bool):
     """The least costs after each run of turns, and for each turn the state before it on the cheapest way to each state.
 
@@ -76,8 +82,7 @@ def _ways(roles: np.ndarray, sizes: np.ndarray, cost: np.ndarray, trace: bool):
     left.
     """
     first = np.cumsum(sizes) - sizes
-    order = np.argsort(-sizes, kind="stable")
-    left = len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(1, (sizes.max() if len(sizes) else 0) + 1))
+    order, left = _left(sizes)
     back = np.zeros((len(roles), 4), np.int8) if trace else None
     cost = cost.copy()
     for t, n in enumerate(left.tolist()):
@@ -91,9 +96,26 @@ def _ways(roles: np.ndarray, sizes: np.ndarray, cost: np.ndarray, trace: bool):
 
 
 def tables(roles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """costs[run, state before, state after] of runs of turns."""
+    """Of runs of turns: [run, 0, state before, state after] their costs, and [run, 1, ...] a rank of the states before, for each state after.
+
+    Of two ways that cost the same, that one is taken which has the smaller
+    state where they part, seen from the end. The rank tells this order, so
+    that runs give together what they give as one.
+    """
     begin = np.where(np.eye(4, dtype=bool), 0, _FAR)
-    return np.stack([_ways(roles, sizes, np.tile(begin[s], (len(sizes), 1)), False)[0] for s in range(4)], axis=1)
+    each = [_ways(roles, sizes, np.tile(begin[s], (len(sizes), 1)), True) for s in range(4)]
+    costs = np.stack([c for c, _ in each], axis=1)
+    back = np.stack([b for _, b in each], axis=1)  # turn, state before the run, state after the turn
+    now = np.tile(np.arange(4), (len(sizes), 4, 1))  # run, state before it, state after it
+    less = np.zeros((len(sizes), 4, 4, 4), np.int8)  # run, two states before, state after: -1, 0 or 1
+    last = np.cumsum(sizes) - 1
+    order, left = _left(sizes)
+    for t, n in enumerate(left.tolist()):
+        own = order[:n]
+        now[own] = np.take_along_axis(back[last[own] - t], now[own], axis=2)
+        sign = np.sign(now[own][:, :, None] - now[own][:, None]).astype(np.int8)
+        less[own] = np.where(less[own] == 0, sign, less[own])
+    return np.stack([costs, (less > 0).sum(axis=2)], axis=1)
 
 
 def paths(roles: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -104,8 +126,7 @@ def paths(roles: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.nd
     state = np.where(after < 0, (cost + END).argmin(axis=1), after)
     out = np.zeros(len(roles), np.int8)
     last = np.cumsum(sizes) - 1
-    order = np.argsort(-sizes, kind="stable")
-    left = len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(1, (sizes.max() if len(sizes) else 0) + 1))
+    order, left = _left(sizes)
     for t, n in enumerate(left.tolist()):
         now = order[:n]
         at = last[now] - t
@@ -118,10 +139,11 @@ def ends(tables: list[np.ndarray]) -> list[tuple[int, int]]:
     """(state before, state after) of each segment of a conversation."""
     cost = np.array([0, _FAR, _FAR, _FAR], np.int64)
     back = []
-    for t in tables:
-        step = cost[:, None] + t
-        back.append(step.argmin(axis=0))
-        cost = np.minimum(step.min(axis=0), _FAR)
+    for costs, rank in tables:
+        step = cost[:, None] + costs
+        cost = step.min(axis=0)
+        back.append(np.where(step == cost, rank, 4).argmin(axis=0))
+        cost = np.minimum(cost, _FAR)
     state, out = int((cost + END).argmin()), []
     for b in reversed(back):
         out.append((int(b[state]), state))
@@ -212,7 +234,7 @@ def cutter(segment_turns: int):
             own = np.repeat(np.arange(each), sizes)
             yield [rows.column(0), rows.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(states, pa.int32()), rows.column(3), pa.array(own + name), pa.array(np.arange(n) - first[own], pa.int32()), pa.nulls(n, pa.binary())]
             number, word = pa.nulls(each, pa.int32()), pa.nulls(each, pa.string())
-            costs = pa.array([x.tobytes() for x in tables(states, sizes)], pa.binary())
+            costs = pa.array([x.astype(np.int64).tobytes() for x in tables(states, sizes)], pa.binary())
             yield [rows.column(0).take(pa.array(first)), pa.nulls(each, rows.column(1).type), number, word, number, word, pa.array(np.arange(each) + name), pa.array(np.full(each, -1), pa.int32()), costs]
             name += each
 
@@ -268,7 +290,7 @@ def between(batches):
     names = ["segment", "before", "after", "last"]
 
     def out(held):
-        found = ends([np.frombuffer(x, np.int64).reshape(4, 4) for _, x in held])
+        found = ends([np.frombuffer(x, np.int64).reshape(2, 4, 4) for _, x in held])
         n = len(found)
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array([i == n - 1 for i in range(n)])], names=names)
 
@@ -322,7 +344,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     last, then by role and text, so repeated rows follow each other. Null roles
     and roles that are none of system, user, assistant or their aliases are
     given one; a null text is empty, and a text of any length is taken whole.
-    Ties between repairs go to the smaller state. A null conversation is one
+    Of repairs that cost the same, that one is taken which has the smaller
+    state where they part, seen from the end. A null conversation is one
     like any other. Other columns are ignored; an empty table gives an empty
     one.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from ..functions.options import FOREIGN_PERCENT, Options
 from ..functions.ucd import ALPHABETIC, COMBINING, COMMON, HAZARDS, INHERITED, LATIN, RANK, RESHAPED, SEVERITY, UNKNOWN, WORD, Tables
-from .keypaths import escape_spans, key_spans, keys_at
+from .keypaths import escape_spans, keys_of
 
 SLICE_BYTES = 1 << 20
 FIELDS = ("kind", "severity", "line", "column", "offset", "key", "codepoints", "scripts", "resembles", "detail")
@@ -295,7 +295,7 @@ def examine_texts(x: Texts, formats: list[str], asked: Options) -> tuple[np.ndar
     for d in np.flatnonzero(np.diff(bounds)).tolist():
         if formats[d] != "text":
             lo, hi = int(bounds[d]), int(bounds[d + 1])
-            keys[lo:hi] = keys_at(key_spans(x.text(d), formats[d]), offsets[lo:hi].tolist())
+            keys[lo:hi] = keys_of(x.text(d), formats[d], offsets[lo:hi].tolist())
     said, take = out.said, pa.array(what)
     kinds = [s[0] for s in said]
     columns = [

@@ -136,45 +136,67 @@ def table_spans(text: str, delimiter: str) -> Iterator[Span]:
             yield span(offset, line, a, b, names[i] if i < len(names) and names[i] else f"[{i}]")
 
 
-_JSON = re.compile(rb'[{\[}\],:]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|//[^\n]*|/\*.*?(?:\*/|\Z)|[0-9A-Za-z+._-]+', re.DOTALL)
+_JSON = re.compile(rb'[{\[}\],:]|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|//[^\n]*|/\*.*?(?:\*/|\Z)|[0-9A-Za-z+._-]+', re.DOTALL)
 
 
-def json_spans(text: str) -> Iterator[Span]:
-    """Strings that are values and bare tokens. A string renames the innermost segment while an object waits for a key."""
+def json_spans(text: str, wanted: list[int] | None = None) -> Iterator[Span]:
+    """Strings that are values and bare tokens. A string renames the innermost segment while an object waits for a key.
+
+    With wanted, offsets in order, only spans that hold one of them, and no
+    further than the last.
+    """
     raw = text.encode()
-    # of each open container: is it a list, the index of its item, does it wait for a key
+    n = len(raw)
+    # of each open container its segment, a list's index or where an object's key lies, and whether it waits for a key
     stack: list[list] = []
-    path: list[str] = []
+
+    def path() -> str:
+        return join(f"[{s}]" if type(s) is int else raw[s[0] : s[1]].decode(errors="replace") if s else "" for s, _ in stack)
+
+    ahead = None if wanted is None else iter(wanted)
+    sought = -1 if ahead is None else next(ahead, n)
     for token in _JSON.finditer(raw):
         a, b = token.span()
-        first = raw[a : a + 1]
-        if first in b"{[":
-            a_list = first == b"["
-            stack.append([a_list, 0, not a_list])
-            path.append("[0]" if a_list else "")
-        elif first in b"}]":
+        first = raw[a]
+        if first == 34:
+            closed = b - a > 1 and raw[b - 1] == 34 and (b < n or _closed(raw, a, b))
+            a, b = a + 1, b - 1 if closed else b
+            if stack and stack[-1][1]:
+                stack[-1][0] = a, b
+                continue
+        elif first == 44:
             if stack:
-                stack.pop()
-                path.pop()
-        elif first == b":":
+                top = stack[-1]
+                if type(top[0]) is int:
+                    top[0] += 1
+                else:
+                    top[1] = True
+            continue
+        elif first == 58:
             if stack:
-                stack[-1][2] = False
-        elif first == b",":
+                stack[-1][1] = False
+            continue
+        elif first == 123:
+            stack.append([None, True])
+            continue
+        elif first == 91:
+            stack.append([0, False])
+            continue
+        elif first == 125 or first == 93:
             if stack:
-                top = stack[-1]
-                top[2] = not top[0]
-                if top[0]:
-                    top[1] += 1
-                    path[-1] = f"[{top[1]}]"
-        elif first == b'"':
-            closed = b - a > 1 and raw[b - 1 : b] == b'"' and _closed(raw, a, b)
-            start, end = a + 1, b - 1 if closed else b
-            if stack and stack[-1][2]:
-                path[-1] = raw[start:end].decode(errors="replace")
-            else:
-                yield start, end, join(path)
-        elif first != b"/":
-            yield a, b, join(path)
+                stack.pop()
+            continue
+        elif first == 47:
+            continue
+        if ahead is None:
+            yield a, b, path()
+            continue
+        while sought < a:
+            sought = next(ahead, n)
+        if sought < b:
+            yield a, b, path()
+        elif sought >= n:
+            return
 
 
 def _closed(raw: bytes, a: int, b: int) -> bool:
@@ -263,6 +285,11 @@ def key_spans(text: str, format: str) -> list[Span]:
     return list(reader(text)) if reader else []
 
 
+def keys_of(text: str, format: str, offsets: list[int]) -> list[str | None]:
+    """key_at() of each offset, in order, of a text."""
+    return keys_at(list(json_spans(text, offsets)) if format == "json" else key_spans(text, format), offsets)
+
+
 def escape_spans(text: str, format: str) -> list[tuple[int, int]]:
     return json_escapes(text) if format == "json" else []
 

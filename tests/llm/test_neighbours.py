@@ -21,7 +21,7 @@ def test_ties_at_the_edge_go_to_the_smaller_id(spark):
     x = np.c_[np.zeros(1800), gen.integers(1, 1000, size=(1800, 7))]
     x[:6, 0] = [1, 1, 3, 2, 2, 2]
     ids = np.r_[7, gen.permutation(np.arange(100, 1899))]
-    got = nearest(spark, ids, np.vstack([np.eye(8)[:1], x[1:]]), [7])[7]
+    got = nearest(spark, ids, np.vstack([np.eye(8)[:1], x[1:]]), [7], share=1.0)[7]
     score = x[1:, 0]
     order = np.lexsort((ids[1:], -score))[:20]
     assert got == [(ids[1:][i], score[i]) for i in order]
@@ -32,7 +32,7 @@ def test_ties_of_binary_vectors(spark):
     x = gen.integers(0, 2, size=(1900, 24)).astype(float)
     x[:, 0] = 1
     ids = gen.permutation(1900)
-    for q, found in nearest(spark, ids, x, range(0, 1900, 90)).items():
+    for q, found in nearest(spark, ids, x, range(0, 1900, 90), share=1.0).items():
         s = x @ x[ids == q][0]
         s[ids == q] = -1
         assert found == [(ids[i], s[i]) for i in np.lexsort((ids, -s))[:20]]
@@ -52,7 +52,7 @@ def test_recall_of_the_share_alone(spark):
     gen = np.random.default_rng(4)
     x = gen.normal(size=(3000, 16)).astype(np.float32).astype(float)
     asked = range(0, 3000, 20)
-    found = {least: nearest(spark, range(3000), x, asked, least=least) for least in (0, neighbours.VISIT_LEAST)}
+    found = {least: nearest(spark, range(3000), x, asked, least=least) for least in (0, None)}
     recall = dict.fromkeys(found, 0.0)
     for q in asked:
         s = x @ x[q]
@@ -63,6 +63,18 @@ def test_recall_of_the_share_alone(spark):
     assert recall[0] >= 0.9
 
 
+def test_chunks_of_cells():
+    gen = np.random.default_rng(3)
+    for sizes in ([1] * 3000, [5000, 1, 1, 600, 511, 1, 9000], gen.integers(1, 1500, 60).tolist(), [7], []):
+        begin, n = np.cumsum([0, *sizes])[:-1], sum(sizes)
+        got = neighbours.chunks(begin, n)
+        assert [a for a, _ in got] + [n] * bool(got) == [0] * bool(got) + [b for _, b in got]
+        ends = set(begin.tolist()) | {n}
+        for a, b in got:
+            inner = [x for x in begin.tolist() if a < x < b]
+            assert b - a <= neighbours.MOST and (not inner or b - inner[-1] < neighbours.SOME) and (b in ends or b - a == neighbours.MOST)
+
+
 DATA = "/root/testdata/sf0.1"
 
 

@@ -13,6 +13,7 @@ so that a full cell is no task of its own; queries go to the shards in blocks.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from . import exchange as X
 CENTROIDS = 64
 #: Vectors that the centroids are fitted on, about: the bound of the sample.
 SAMPLE = 4096
-#: A query visits cells until they hold this share of all vectors, and this many at least.
-VISIT_SHARE, VISIT_LEAST = 0.5, 2000
+#: A query visits cells until they hold this share of all vectors, and this many times the neighbours that are asked for.
+VISIT_SHARE, VISIT_TIMES = 0.5, 10
 #: Queries in a block.
 BLOCK = 64
+#: Vectors that are multiplied at once: cells of fewer than SOME go together, one of more than MOST in pieces.
+SOME, MOST = 512, 4096
 
 
 def matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +90,21 @@ def walk(query: np.ndarray, index, sizes: np.ndarray, enough: float) -> np.ndarr
     return oa[pairs[:, 0]] * nb + ob[pairs[:, 1]]
 
 
+def chunks(begin: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(first row, end row) of what is multiplied at once, of n rows in order of cells that begin at `begin`."""
+    out, lo = [], 0
+    for a, b in itertools.pairwise([*begin.tolist(), n]):
+        if b - a >= SOME:
+            if lo < a:
+                out.append((lo, a))
+            out += [(x, min(x + MOST, b)) for x in range(a, b, MOST)]
+            lo = b
+        elif b - lo >= SOME:
+            out.append((lo, b))
+            lo = b
+    return out + [(lo, n)] * (lo < n)
+
+
 def few_ids(ids: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     """Indices of up to `most` rows of each of the `most` smallest ids of each distinct row: ties go to the smaller id, so no other can be among the nearest, whichever one id a query leaves out."""
     key = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64)
@@ -118,7 +136,7 @@ def cut(score: np.ndarray, at: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     return np.take_along_axis(score, keep, 1), np.take_along_axis(at, keep, 1)
 
 
-def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
+def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = VISIT_SHARE, least: int | None = None) -> DataFrame:
     """The `top` nearest of each query by inner product: (query_id, rank, vec_id, score).
 
     is_query is a condition over the columns of `vectors`. Candidates are all
@@ -128,7 +146,9 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
     than most, take no part. A repeated query row gets its answers again; a
     repeated candidate row counts as often as it is there. Other columns are
     ignored; an empty table gives an empty one. Approximate: a neighbour in a
-    cell that is not visited is missed.
+    cell that is not visited is missed. A query visits cells until they hold
+    `share` of all vectors, and `least` (VISIT_TIMES * top), at any size of
+    the table.
     """
     spark = vectors.sparkSession
     parts = X.parts_of(spark)
@@ -144,7 +164,7 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
     good = good.where(F.size("v") == dim)
     picked = good.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < min(1.0, SAMPLE / lengths[1]) * 1_000_000)
     sample = np.array([r[0] for r in picked.select("v").collect()] or [good.select("v").first()[0]], np.float64)
-    k = min(CENTROIDS, max(1, len(sample) // 16))
+    k = min(CENTROIDS, max(1, len(sample) // 8))
     index = [centroids(h, k) if h.shape[1] else np.zeros((1, 0)) for h in halves(sample)]
     n_cells = len(index[0]) * len(index[1])
 
@@ -159,7 +179,7 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
     for cell, n in good.select("id", "v").mapInArrow(count, "cell long, n long").groupBy("cell").sum("n").collect():  # a row for each cell
         sizes[cell] = n
     shared = spark.sparkContext.broadcast((index, sizes))
-    enough = max(least, share * sizes.sum())
+    enough = max(VISIT_TIMES * top if least is None else least, share * sizes.sum())
 
     def shard(batches):
         index = shared.value[0]
@@ -222,11 +242,8 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
                 # twice what rounding can part two products
                 slack = 4 * dim * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * longest
                 best_score, best_id = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
-                # some cells at a time: their vectors against the queries that visit any of them
-                step = max(1, len(begin) // max(1, -(-len(ids) // 512)))
-                for lo in range(0, len(begin), step):
-                    a = begin[lo]
-                    b = begin[lo + step] if lo + step < len(begin) else len(ids)
+                # the vectors of a cell, or of some small ones, against the queries that visit any of them
+                for a, b in chunks(begin, len(ids)):
                     visit = seen[:, cell[a:b]]
                     who = np.flatnonzero(visit.any(axis=1))
                     if not len(who):

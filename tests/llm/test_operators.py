@@ -244,6 +244,19 @@ def test_mixing(spark):
     assert mixed.columns == frame.columns and mixed.count() == sum(r.times for r in got.collect())
 
 
+def test_mixing_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i % 50, f"w{i} " * (i % 7), f"s{i % 23}") for i in range(600)] + [(None, None, None)] * 4
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("times", F.lit("clash"))
+    want, mixed = rows_of(mixing.mixture(frame)), rows_of(mixing.mix(frame.repartition(3)))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert rows_of(mixing.mixture(frame)) == want and rows_of(mixing.mix(frame.repartition(7))) == mixed
+
+
+def test_jaccard_beyond_a_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    assert rows_of(jaccard.near_duplicates(docs)) == brute.jaccard(ROWS, 5, 75)
+
+
 def test_urls(spark):
     rows = ["http://A.Example.com/en/7?x", "https://example.com/en/71", "http://com/en/", "http://xcom/en/", "ftp://example.net/de/8", "http://b.net/de/", "x://org/es/#a", "x://org/es", "nope", None, "", "http://h.x/a/?utm_source=feed", "https://H.x/a.html", "http://h.x/b", "http://h.x", "http://h.x?utm_source=feed", "http://h.x/a/\n"]
     frame = spark.createDataFrame(list(enumerate(rows)) + [(11, rows[11])], "page_id long, url string").withColumn("host", F.lit("clash"))

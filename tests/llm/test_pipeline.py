@@ -4,7 +4,11 @@ import os
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm import brute
+from tests.llm.test_models import language_of
+from veilcheck.llm import language, mixing
 from veilcheck.llm.common import settled
 
 DATA = "/root/testdata/sf0.001"
@@ -21,7 +25,10 @@ def test_each_stage_against_brute_force(spark):
         if name != "best_fit_packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     before, after = seen["language_id"]
-    assert len(after) >= len(before) - 2
+    model = language.train(spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long"), F.lit(True), "doc_id", "text", "lang")
+    said = {r.doc_id: language_of(r.text, model) for r in before}
+    kept = {i for i, (name, p) in said.items() if name != "und" and p >= 0.5}
+    assert {r.doc_id for r in after} == kept and len(after) == len(kept) >= 0.95 * len(before) and set(after) <= set(before)
     before, after = seen["near_duplicates"]
     groups = brute.jaccard([(r.doc_id, r.text) for r in before], 5, 75)
     assert {r.doc_id for r in after} == {g[2] for g in groups} and len(after) == len({g[2] for g in groups})
@@ -37,6 +44,16 @@ def test_each_stage_against_brute_force(spark):
     kept = {r.doc_id: r for r in before}
     times = collections.Counter(r.doc_id for r in after)
     assert set(times) <= set(kept) and max(times.values()) <= 3 and all(r == kept[r.doc_id] for r in after)
+    plan = {r.doc_id: r for r in mixing.mixture(spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert times == {i: r.times for i, r in plan.items() if r.times}
+    words = collections.Counter()
+    for r in after:
+        words[r.source] += len(brute.words(r.text))
+    targets, longest = {kept[i].source: r.target for i, r in plan.items()}, collections.Counter()
+    for i, r in plan.items():
+        longest[kept[i].source] = max(longest[kept[i].source], r.size)
+    # a source of few documents misses its target by less than its longest
+    assert set(words) <= set(targets) and all(abs(words[s] - t) <= longest[s] for s, t in targets.items())
     before, after = seen["best_fit_packing"]
     assert collections.Counter(r.doc_id for r in after if r.piece == 0) == collections.Counter(r.doc_id for r in before)
 

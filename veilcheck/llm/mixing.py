@@ -49,7 +49,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...], most: int, share: float)
 
 
 def allot(sized: DataFrame, weights: tuple[int, ...], most: int, share: float, seed: int) -> DataFrame:
-    """sized (id, source, size, ...) with source_size, target and times, how often the mix takes the document.
+    """sized (id, source, size, tie, ...) with source_size, target and times, how often the mix takes the document.
 
     Each document is taken floor(target / source_size) times. The fraction left
     is drawn systematically: documents of a source, salted into rows of about
@@ -67,9 +67,9 @@ def allot(sized: DataFrame, weights: tuple[int, ...], most: int, share: float, s
     rows = rows.withColumn("ratio", ratio).withColumn("lot", lot).withColumn("salt", F.pmod(F.col("lot"), salts))
     fraction = F.col("ratio") - F.floor("ratio")
     start = F.pmod(number(F.col("source"), F.col("salt"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    turn = F.row_number().over(W.partitionBy("source", "salt").orderBy("size", "lot", "id"))
+    turn = F.row_number().over(W.partitionBy("source", "salt").orderBy("size", "lot", "id", "tie"))
     once_more = F.floor(turn * fraction + start) - F.floor((turn - 1) * fraction + start)
-    return rows.withColumn("times", (F.floor("ratio") + once_more).cast("long")).drop("plan_source", "n", "ratio", "lot", "salt")
+    return rows.withColumn("times", (F.floor("ratio") + once_more).cast("long")).drop("plan_source", "n", "ratio", "lot", "salt", "tie")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, share: float = 1.0, seed: int = 1) -> DataFrame:
@@ -81,15 +81,15 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     itself, and a rerun gives the same rows. Other columns are ignored; an
     empty table gives an empty one.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.lit(0).alias("tie"))
     rows = allot(sized, weights, most, share, seed)
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, share: float = 1.0, seed: int = 1) -> DataFrame:
-    """docs as the mix takes them: each row as often as mixture() says, with the columns of docs."""
+    """docs as the mix takes them: each row as often as mixture() says, with the columns of docs. Rows of one id and size go by a hash of their text, so a rerun repeats the same."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row.alias("row"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("tie"), row.alias("row"))
     rows = allot(sized, weights, most, share, seed).where("times > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 

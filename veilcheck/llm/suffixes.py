@@ -32,7 +32,8 @@ from .common import keyed, settled, type_of
 from .substrings import Notes, note_repeats, send_hashes
 
 KMER = 32
-_PLACE_BITS = 30
+#: Bits of a place in a slice: a text in Spark has less than 2^31 bytes, and a longer slice is one text.
+_PLACE_BITS = 31
 #: Suffixes in a batch.
 BATCH = 1 << 19
 #: Words of eight bytes that are compared at once.

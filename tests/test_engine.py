@@ -27,6 +27,18 @@ def test_native_and_kernel_agree(docs):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, native.located(docs).select(*one.columns).collect())) != []
 
 
+def test_repeated_ids_are_documents_of_their_own(spark, docs):
+    twice = docs.unionByName(docs).unionByName(docs.select(F.lit(3).cast("long").alias("doc_id"), "text", "kind"))
+    one = screen(twice, kinds=native.KINDS).select("doc_id", "line", "column", "offset", F.col("codepoints")[0].alias("codepoint"), "kind", "severity")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, native.located(twice).select(*one.columns).collect()))
+
+
+def test_reports_read_once(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    plan = file_reports(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_reports(docs):
     files_ = file_reports(docs)
     rows = {r.doc_id: r for r in files_.collect()}

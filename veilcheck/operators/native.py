@@ -47,17 +47,17 @@ def hazards(docs: DataFrame, *keep: str, text_col: str = "text", kinds=KINDS) ->
 
 
 def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS, spans=None) -> DataFrame:
-    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset. Windows go by the id, so each id has one text. spans: ranges of the last kind, all by default."""
+    """(id, line, column, offset, codepoint, kind, severity) of each hazard: 1-based line and UTF-16 column, byte offset. Windows go by the id and the row, so ids may repeat. spans: ranges of the last kind, all by default."""
     text = F.col(text_col)
     spans = unknown(docs.sparkSession) if spans is None else spans
     sought = hazard_class(*kinds, spans=spans)
-    pieces = docs.where(text.rlike(sought)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text, f"(?<={sought})")).alias("pos", "piece"))
-    before = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pieces = docs.where(text.rlike(sought)).select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).select("id", "row", F.posexplode(F.split("text", f"(?<={sought})")).alias("pos", "piece"))
+    before = W.partitionBy("id", "row").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("id", "row").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     piece = F.col("piece")
     last = F.substring(piece, -1, 1)
     head = F.substring(piece, F.lit(1), F.length(piece) - 1)
-    rows = pieces.select("id", "pos", last.alias("ch"), F.octet_length(piece).alias("bytes"), utf16_units(piece).alias("units"), (F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))).alias("feeds"), F.octet_length(head).alias("head_bytes"), utf16_units(head).alias("head_units"), utf16_units(F.substring_index(piece, "\n", -1)).alias("tail_units"))
+    rows = pieces.select("id", "row", "pos", last.alias("ch"), F.octet_length(piece).alias("bytes"), utf16_units(piece).alias("units"), (F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))).alias("feeds"), F.octet_length(head).alias("head_bytes"), utf16_units(head).alias("head_units"), utf16_units(F.substring_index(piece, "\n", -1)).alias("tail_units"))
     start = F.coalesce(F.sum("units").over(before), F.lit(0))
     rows = rows.withColumn("at", start).withColumn("line_at", F.when(F.col("feeds") > 0, F.col("at") + F.col("units") - F.col("tail_units")))
     rows = rows.select("id", "ch", (F.sum("feeds").over(upto) + 1).alias("line"), (F.col("at") + F.col("head_units") - F.coalesce(F.max("line_at").over(upto), F.lit(0)) + 1).alias("column"), (F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.col("head_bytes")).alias("offset"))

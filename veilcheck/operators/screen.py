@@ -25,11 +25,13 @@ CONTEXT = "intentional_script_context"
 _REFUSAL = pa.struct([("reason", pa.string()), ("detail", pa.string())])
 
 
-def examined(docs: DataFrame, id_col: str, text_col: str, asked: Options, format: Column | None) -> DataFrame:
-    """(id, findings, refusals) of each document whose text is not ASCII alone."""
+def examined(docs: DataFrame, id_col: str, text_col: str, asked: Options, format: Column | None, every: bool = False) -> DataFrame:
+    """(id, findings, refusals) of each document whose text is not ASCII alone; with `every`, of the others too, whose texts stay behind."""
     _, tables = shared(ship(docs.sparkSession))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(text_col).rlike("[^\\x00-\\x7F]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit("text") if format is None else format).alias("format"))
+    odd = F.col(text_col).rlike("[^\\x00-\\x7F]")
+    text = F.when(odd, F.col(text_col)) if every else F.col(text_col)
+    rows = (docs if every else docs.where(odd)).select(F.col(id_col).alias("id"), text.alias("text"), (F.lit("text") if format is None else format).alias("format"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,13 +72,9 @@ def refusals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 def file_reports(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=(), scripts=(), format: str | None = None, filename: Column | None = None) -> DataFrame:
     """A row for each document, clean ones too: (id, findings, refusals, n_findings, n_bidi, n_refusals, unexamined).
 
-    Clean ASCII documents join by a union, not by a shuffle.
+    One scan, and no shuffle: of a clean ASCII document only the id leaves the JVM.
     """
-    asked = _asked(docs, kinds, scripts)
-    some = examined(docs, id_col, text_col, asked, format_column(format, filename))
-    types = {f.name: f.dataType for f in some.schema}
-    plain = docs.where(~F.coalesce(F.col(text_col).rlike("[^\\x00-\\x7F]"), F.lit(False))).select(F.col(id_col).alias("id"), *(F.array().cast(types[c]).alias(c) for c in ("findings", "refusals")))
-    both = some.unionByName(plain)
+    both = examined(docs, id_col, text_col, _asked(docs, kinds, scripts), format_column(format, filename), every=True)
     return both.select(
         F.col("id").alias(id_col), "findings", "refusals",
         F.size("findings").cast("long").alias("n_findings"),

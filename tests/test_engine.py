@@ -8,6 +8,7 @@ from veilcheck.functions.expressions import escape_ascii, redacted
 from veilcheck.functions.options import check_gate
 from veilcheck.functions.sqlfuncs import register
 from veilcheck.operators import native, report
+from veilcheck.operators.keys import key_paths, keys_at
 from veilcheck.operators.screen import file_reports, refusals, screen
 from veilcheck.plans import sinks
 from veilcheck.sources import files, ignore
@@ -39,6 +40,15 @@ def test_reports_read_once(spark, docs, tmp_path):
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
+def test_keys_of_many_findings(spark, tables):
+    """Findings inside spans, between them, at both ends and of documents without any, against the kernel's search."""
+    rows = [(1, '{"a": "x\u200by", "b\u200b": ["\u200b", 1, "\u200b\u200b"]}'), (2, "\u200b"), (3, '["\u200b"] \u200b'), (4, "{}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = screen(frame, kinds=["invisible"], format="json").withColumnRenamed("key", "want").withColumn("start", F.lit("clash"))
+    got = keys_at(found, key_paths(frame, "doc_id", "text", "json")).collect()
+    assert len(got) == 8 and all((r.path or None) == r.want for r in got) and {r.want for r in got} == {"a", "b\u200b.[0]", "b\u200b.[2]", "[0]", None}
+
+
 def test_reports(docs):
     files_ = file_reports(docs)
     rows = {r.doc_id: r for r in files_.collect()}

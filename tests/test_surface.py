@@ -28,6 +28,18 @@ def test_scan(spark, tmp_path):
     assert cli.scan(spark, cli.parse(["--stdin"]), "a\u200b".encode())[0]["files"][0]["file"] == "<stdin>"
 
 
+def test_main_prints_what_scan_gives(spark, tmp_path, capsys):
+    for name, text in {"b/z.json": '{"k": "x\u202ey"}', "b.txt": "\u0436\u0436", "a.md": "clean", "_c.txt": "\u200b"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "e.txt").write_bytes(b"\xff")
+    code = cli.main([str(tmp_path), "--strict"])
+    said = capsys.readouterr()
+    document, lines, want = cli.scan(spark, cli.parse([str(tmp_path), "--strict"]))
+    assert json.loads(said.out) == document and said.out.isascii() and said.err.splitlines() == lines and code == want == 2
+    assert [f["file"][len(str(tmp_path)) + 1 :] for f in document["files"]] == ["_c.txt", "a.md", "b/z.json", "b.txt", "e.txt"]
+
+
 def test_main_refuses(capsys):
     assert cli.main(["--\u00e9"]) == 2 and capsys.readouterr().err.isascii()
 

@@ -7,18 +7,18 @@ something was refused.
 
 from __future__ import annotations
 
-import json
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.options import check_gate, parse_kind, parse_script
 from .functions.ucd import tables
 from .operators import report
 from .plans import sinks
-from .plans.trees import document, tree_reports
+from .plans.trees import document, tree_reports, write_document
 from .sources import files
 
 
@@ -67,39 +67,53 @@ def parse(args: list[str]) -> Arguments:
     return out
 
 
-def scan(spark: SparkSession, asked: Arguments, content: bytes = b"") -> tuple[dict, list[str], int]:
-    """(report, lines for people, exit code). A report is one document, so its files come to the driver in the end."""
+def judged(spark: SparkSession, asked: Arguments, content: bytes = b"") -> DataFrame:
+    """tree_reports() of what is asked for, cached."""
     scripts = [parse_script(s, tables(spark)) for s in asked.scripts]
     if asked.stdin:
         read = files.stdin(spark, content)
     else:
         read = files.read_files(spark, files.collect(asked.inputs, files.Walk(asked.hidden, asked.respect_ignore), spark))
-    reports = tree_reports(read, asked.kinds, scripts).cache()
-    found_document = document(reports)
-    total = report.run_summary(reports)
-    lines = [r.l for r in reports.select("file", F.explode("refusals").alias("r")).select("file", "r.detail").orderBy("file").select(sinks.refusal_line(F.col("file")).alias("l")).collect()]
+    return tree_reports(read, asked.kinds, scripts).cache()
+
+
+def lines(reports: DataFrame) -> Iterator[str]:
+    """What people are told: refusals, findings in order, the sum, and what to do about undeclared scripts."""
+    refused = reports.select("file", F.explode("refusals").alias("r")).select("file", "r.detail").orderBy(F.split("file", "/"))
     found = reports.select("file", F.posexplode("findings").alias("seq", "f")).select("file", "seq", "f.*").orderBy(F.split("file", "/"), "seq")
-    lines += [r.l for r in found.select(sinks.human_line(F.col("file")).alias("l")).collect()]
-    lines.append(sinks.summary_line(total).first().line)
+    for rows, line in ((refused, sinks.refusal_line), (found, sinks.human_line)):
+        for row in rows.select(line(F.col("file")).alias("line")).toLocalIterator():
+            yield row.line
+    yield sinks.summary_line(report.run_summary(reports)).first().line
     if reports.where(F.exists("refusals", lambda r: r["reason"] == "intentional_script_context")).head(1):
-        lines.append("name the expected script with --script to have those files judged too")
-    code = total.select(report.exit_code(asked.fail_on, asked.strict)).first()[0]
+        yield "name the expected script with --script to have those files judged too"
+
+
+def exit_code(reports: DataFrame, asked: Arguments) -> int:
+    return report.run_summary(reports).select(report.exit_code(asked.fail_on, asked.strict)).first()[0]
+
+
+def scan(spark: SparkSession, asked: Arguments, content: bytes = b"") -> tuple[dict, list[str], int]:
+    """(report as one document, lines for people, exit code)."""
+    reports = judged(spark, asked, content)
+    out = document(reports), list(lines(reports)), exit_code(reports, asked)
     reports.unpersist()
-    return found_document, lines, code
+    return out
 
 
 def main(args: list[str] | None = None) -> int:
     try:
         asked = parse(sys.argv[1:] if args is None else args)
         spark = SparkSession.builder.getOrCreate()
-        document, lines, code = scan(spark, asked, sys.stdin.buffer.read() if asked.stdin else b"")
+        reports = judged(spark, asked, sys.stdin.buffer.read() if asked.stdin else b"")
     except (ValueError, FileNotFoundError) as e:
         print(str(e).encode("ascii", "backslashreplace").decode(), file=sys.stderr)
         return 2
     if not sys.stdout.isatty():
-        print(json.dumps(document))
-    print("\n".join(lines), file=sys.stderr)
-    return code
+        write_document(reports, sys.stdout.write)
+    for line in lines(reports):
+        print(line, file=sys.stderr)
+    return exit_code(reports, asked)
 
 
 if __name__ == "__main__":

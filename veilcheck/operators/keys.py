@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -32,7 +33,18 @@ def key_paths(docs: DataFrame, id_col: str, text_col: str, format: str | None =
 
 
 def keys_at(findings: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """findings with the path of the span that holds each offset: an equality join on the document with a range beside it."""
-    s = spans.select(F.col(id_col).alias("span_id"), "start", F.col("end").alias("stop"), "path")
-    on = (F.col(id_col) == F.col("span_id")) & (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("stop"))
-    return findings.join(s, on, "left").drop("span_id", "start", "stop")
+    """findings with the path of the span that holds each offset, null outside.
+
+    A document's spans come in order and apart, so the one that may hold an
+    offset is the last to begin before it: one window over both, and no pairs
+    of findings and spans. Each id has one text.
+    """
+    none = F.lit(None)
+    held = F.struct(*(F.col(f"`{c}`") for c in findings.columns))
+    kinds = {f.name: f.dataType for f in spans.schema}
+    found = findings.select(F.col(id_col).alias("id"), F.col("offset").alias("at"), F.lit(1).alias("side"), held.alias("finding"), none.cast("long").alias("stop"), none.cast(kinds["path"]).alias("path"))
+    begun = spans.select(F.col(id_col).alias("id"), F.col("start").alias("at"), F.lit(0).alias("side"), none.cast(found.schema["finding"].dataType).alias("finding"), F.col("end").alias("stop"), "path")
+    so_far = W.partitionBy("id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    span = F.last(F.when(F.col("side") == 0, F.struct("stop", "path")), ignorenulls=True).over(so_far)
+    both = found.unionByName(begun).withColumn("span", span).where("side = 1")
+    return both.select("finding.*", F.when(F.col("at") < F.col("span.stop"), F.col("span.path")).alias("path"))

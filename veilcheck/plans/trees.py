@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,3 +29,12 @@ def document(reports: DataFrame) -> dict:
     summary = report.run_summary(reports).first().asDict()
     rows = sorted(sinks.json_rows(reports, "file").collect(), key=lambda r: files.path_key(r.file))
     return {"schema": summary.pop("schema"), "files": [json.loads(r.json) for r in rows], "summary": summary}
+
+
+def write_document(reports: DataFrame, write: Callable[[str], object]) -> None:
+    """The same document as text, piece by piece: a part of the files is on the driver at a time."""
+    summary = report.run_summary(reports).first().asDict()
+    write(f'{{"schema": {summary.pop("schema")}, "files": [')
+    for i, row in enumerate(sinks.json_rows(reports.orderBy(F.split("file", "/")), "file").toLocalIterator()):
+        write((", " if i else "") + row.json)
+    write(f'], "summary": {json.dumps(summary)}}}\n')

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from veilcheck.functions.shipping import scratch_dir
 from veilcheck.llm import chat, common, jaccard, language, mixing, neighbours, packing, quality, substrings, suffixes, urls
 
 rng = random.Random(9)
@@ -84,10 +85,10 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     for master in ("spark://h:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
-            common.shared_dir(session(master))
-        assert common.shared_dir(session(master, **{"spark.checkpoint.dir": "s3://b/c"})) == "s3://b/c"
+            scratch_dir(session(master))
+        assert scratch_dir(session(master, **{"spark.checkpoint.dir": "s3://b/c"})) == "s3://b/c"
     for master in ("local", "local[4]", "local[*]"):
-        assert common.shared_dir(session(master)).startswith("file:/")
+        assert scratch_dir(session(master)).startswith("file:/")
 
 
 def test_tables_go_with_their_readers(spark):

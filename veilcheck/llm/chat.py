@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import settled, type_of
+from .common import lean, settled, type_of
 
 MERGE, RELABEL, RENAME, INSERT = 1, 2, 1, 3
 ROLES = ("system", "user", "assistant")
@@ -359,15 +359,15 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first()]
     # ranges go by the start of a text, so that the sample that bounds them is small; within one, whole texts decide
     ranged = rows.repartitionByRange(parts, *order, F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    cuts = settled(ranged.mapInArrow(cutter(segment_turns), f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string, segment long, place int, costs binary"), "turns")
+    cuts = settled(ranged.mapInArrow(lean(cutter(segment_turns)), f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string, segment long, place int, costs binary"), "turns")
 
     # a row for each segment of a conversation that more than one task or segment holds
     tables_ = cuts.where("place = -1").select("conv", "segment", "costs").repartition(parts, "conv").sortWithinPartitions("conv", "segment")
-    notes = tables_.mapInArrow(between, "segment long, before int, after int, last boolean")
+    notes = tables_.mapInArrow(lean(between), "segment long, before int, after int, last boolean")
     none = [F.lit(None).cast(k).alias(c) for c, k in (("conv", conv_kind), ("turn", turn_kind), ("state", "int"), ("text", "string"))]
     noted = notes.select("segment", F.lit(-1).alias("place"), *none, "before", "after", "last")
     loose = cuts.where("place >= 0").select("segment", "place", "conv", "turn", "state", "text", *(F.lit(None).cast(k).alias(c) for c, k in (("before", "int"), ("after", "int"), ("last", "boolean"))))
     dealt = noted.unionByName(loose).repartition(parts, "segment").sortWithinPartitions("segment", "place")
-    repaired = dealt.mapInArrow(repair, f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string")
+    repaired = dealt.mapInArrow(lean(repair), f"conv {conv_kind}, turn {turn_kind}, step int, action string, state int, text string")
     out = cuts.where("segment is null").select(*repaired.columns).unionByName(repaired)
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "step", "action", F.element_at(F.array(*map(F.lit, ROLES)), F.col("state")).alias("role"), F.col("text").alias("rendered"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import scratch_dir
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -30,22 +33,6 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a folder of its own; on a cluster
-    executors would each write to a disk of theirs, so that is an error.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file:{tempfile.gettempdir()}/veilcheck-tables"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 #: Paths of the tables that settled() wrote within a finished() call.
 _within: ContextVar[list[str] | None] = ContextVar("within", default=None)
 #: Tables that are still there, with the JVM and the Hadoop settings that reach them.
@@ -59,7 +46,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     A table stays until the finished() it belongs to ends, or the driver's process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _there[path] = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     if (within := _within.get()) is not None:
         within.append(path)
@@ -94,5 +81,25 @@ def forget(paths: list[str]) -> None:
 atexit.register(lambda: forget(list(_there)))
 
 
+def lean(run):
+    """A mapInArrow function that gives what it has freed back to the system when it ends.
+
+    Workers are used again and again; without this each keeps the most that any
+    task has ever held, and an executor pays for all of them at once.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return task
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

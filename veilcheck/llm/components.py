@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import settled
+from .common import lean, settled
 
 _MOST_ROUNDS = 60
 #: Edges, after forests, that one task may join.
@@ -67,9 +67,9 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label) for every node of edges (a, b) but the least of each component: label is that least node. Nodes are longs."""
     ship(edges.sparkSession)
-    now = settled(edges.where("a <> b").select("a", "b").mapInArrow(forest, "a long, b long"), "forests")
+    now = settled(edges.where("a <> b").select("a", "b").mapInArrow(lean(forest), "a long, b long"), "forests")
     if now.count() <= one_task:
-        one = settled(now.coalesce(1).mapInArrow(forest, "a long, b long"), "stars")
+        one = settled(now.coalesce(1).mapInArrow(lean(forest), "a long, b long"), "stars")
         return one.select(F.col("a").alias("node"), F.col("b").alias("label"))
     mark = None
     for _ in range(_MOST_ROUNDS):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .common import lean
 
 PARTS_EACH = 1
 #: Entries that a map task holds before it sends them.
@@ -117,14 +118,14 @@ def with_notes(notes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
             bodies = pa.array([pressed.compress(x.as_py()) for x in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], names=["k", "id", "body"])
 
-    docs = docs.select("k", "id", "body").mapInArrow(press, docs.select("k", "id", "body").schema)
+    docs = docs.select("k", "id", "body").mapInArrow(lean(press), docs.select("k", "id", "body").schema)
     kind = docs.schema["id"].dataType
     left = notes.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(kind).alias("id"), F.col("payload").alias("body"))
     right = docs.select(key_part_sql(F.col("k"), parts).alias("part"), F.lit(1).alias("kind"), "k", "id", "body")
     return left.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
 
 
-def read_with_notes(batches, most: int = 1 << 20):
+def read_with_notes(batches, most: int = 1 << 18):
     """(notes' payloads of the part, k, ids, bodies) for runs of documents of one part, about `most` bytes each."""
     part, notes, loose = None, [], zstandard.ZstdDecompressor()
     for batch in batches:

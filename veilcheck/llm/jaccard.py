@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import exchange as X
 from . import kernels as K
-from .common import finished, keyed, row_key, settled, type_of
+from .common import finished, keyed, lean, row_key, settled, type_of
 from .components import components
 
 #: Buckets of the frequency table that orders n-grams: its size, and what is broadcast, does not follow the data.
@@ -129,7 +129,7 @@ def ranks_of(surveyed: DataFrame) -> np.ndarray:
         for s, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["segment", "counts"])
 
-    summed = surveyed.where("segment is not null").select("segment", "counts").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
+    summed = surveyed.where("segment is not null").select("segment", "counts").repartition(_SEGMENTS, "segment").mapInArrow(lean(add), "segment int, counts binary")
     counts = np.zeros(BUCKETS, np.int64)
     for row in summed.collect():  # _SEGMENTS rows, BUCKETS counts in all
         counts[row[0] * (BUCKETS // _SEGMENTS) :][: BUCKETS // _SEGMENTS] = np.frombuffer(bytes(row[1]), np.int64)
@@ -262,14 +262,14 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     parts, kind = X.parts_of(spark), type_of(docs, id_col)
     rows = keyed(docs, id_col, text_col)
 
-    surveyed = settled(rows.mapInArrow(survey(size, to_arrow_type(docs.schema[id_col].dataType)), f"k long, id {kind}, s long, n long, {', '.join(f'{q} long' for q in _SKETCH)}, segment int, counts binary"), "classes")
+    surveyed = settled(rows.mapInArrow(lean(survey(size, to_arrow_type(docs.schema[id_col].dataType))), f"k long, id {kind}, s long, n long, {', '.join(f'{q} long' for q in _SKETCH)}, segment int, counts binary"), "classes")
     classes = surveyed.where("segment is null").select("k", "id", "s", "n", *_SKETCH)
     table = spark.sparkContext.broadcast(ranks_of(surveyed))
 
     def labelled() -> DataFrame:
         """(node, label) of each class that is linked, but the least of its component."""
-        prefixes = rows.select("k", "body").mapInArrow(send_prefixes(parts, size, percent, table), X.PACKED)
-        met = settled(X.deal(prefixes, parts).mapInArrow(meet(FEW), "t long, a long, b long, a_n long, b_n long, shared long"), "met")
+        prefixes = rows.select("k", "body").mapInArrow(lean(send_prefixes(parts, size, percent, table)), X.PACKED)
+        met = settled(X.deal(prefixes, parts).mapInArrow(lean(meet(FEW)), "t long, a long, b long, a_n long, b_n long, shared long"), "met")
         crowd = met.where("t is not null").select("t", F.col("a").alias("s"), F.col("a_n").alias("n"), F.col("shared").alias("place"))
         crowded = crowd.select("s").distinct()
         # a pair's count is whole unless both meet in a crowd too
@@ -298,7 +298,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                     own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], names=["s", "elements"])
 
-        sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(whole, "s long, elements binary"), "sets")
+        sets = settled(rows.join(wanted, "k", "left_semi").select("body").mapInArrow(lean(whole), "s long, elements binary"), "sets")
         if sets.count() > n_chosen:  # equal rows
             sets = settled(sets.dropDuplicates(["s"]), "sets")
         narrow = settled(chosen.select("s", *_SKETCH), "sketches")
@@ -311,7 +311,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         def linked(pairs: DataFrame) -> DataFrame:
             for side in "ab":
                 pairs = pairs.join(sets.select(F.col("s").alias(side), F.col("elements").alias(f"{side}_set")), side)
-            return pairs.select("a", "b", "a_set", "b_set").mapInArrow(compare(percent), "a long, b long")
+            return pairs.select("a", "b", "a_set", "b_set").mapInArrow(lean(compare(percent)), "a long, b long")
 
         def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
             """Pairs whose classes are not known to be of one component."""

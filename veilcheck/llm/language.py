@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import kernels as K
-from .common import type_of
+from .common import lean, type_of
 from .ngrams import code_points, counts, hashed, mean_weight
 from .sample import drawn
 
@@ -140,9 +140,9 @@ def train(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col:
         return None
     picked, sizes = found
     fold = F.pmod(F.xxhash64("draw", F.lit("fold")), F.lit(5)).cast("int")
-    rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label string, fold int, at binary, share binary").collect()  # within drawn()'s bound
+    rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(lean(labelled), "label string, fold int, at binary, share binary").collect()  # within drawn()'s bound
     seen = np.zeros(len(ORDERS) << BITS)
-    for bucket, n in known.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").sum("n").collect():  # a row for each bucket
+    for bucket, n in known.select("text").mapInArrow(lean(frequencies), "bucket long, n long").groupBy("bucket").sum("n").collect():  # a row for each bucket
         seen[bucket] = n
     return fit(rows, seen, sum(sizes.values()))
 
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             for lo, hi, names, score in named(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(predict), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -205,7 +205,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
                     good = [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
                     yield batch.slice(lo, hi - lo).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def predict_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

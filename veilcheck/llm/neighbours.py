@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from .common import lean
 
 #: Centroids of a half.
 CENTROIDS = 64
@@ -176,7 +177,7 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["cell", "n"])
 
     sizes = np.zeros(n_cells, np.int64)
-    for cell, n in good.select("id", "v").mapInArrow(count, "cell long, n long").groupBy("cell").sum("n").collect():  # a row for each cell
+    for cell, n in good.select("id", "v").mapInArrow(lean(count), "cell long, n long").groupBy("cell").sum("n").collect():  # a row for each cell
         sizes[cell] = n
     shared = spark.sparkContext.broadcast((index, sizes))
     enough = max(VISIT_TIMES * top if least is None else least, share * sizes.sum())
@@ -285,8 +286,8 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
         if found:
             yield rows(found)
 
-    stored = good.select("id", "v").mapInArrow(shard, X.PACKED).select("part", F.lit(0).alias("kind"), "payload")
-    asked = good.where("q").select("id", "v").mapInArrow(ask, X.PACKED).select("part", F.lit(1).alias("kind"), "payload")
+    stored = good.select("id", "v").mapInArrow(lean(shard), X.PACKED).select("part", F.lit(0).alias("kind"), "payload")
+    asked = good.where("q").select("id", "v").mapInArrow(lean(ask), X.PACKED).select("part", F.lit(1).alias("kind"), "payload")
     dealt = stored.unionByName(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
-    found = dealt.mapInArrow(answer, "block long, payload binary")
-    return found.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merge, schema)
+    found = dealt.mapInArrow(lean(answer), "block long, payload binary")
+    return found.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lean(merge), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import kernels as K
-from .common import keyed, settled, type_of
+from .common import keyed, lean, settled, type_of
 
 #: Pieces that one task packs, about.
 GROUP_PIECES = 200_000
@@ -323,8 +323,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col).select("id", "body")
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     # written, so that they are counted and dealt without encoding a text twice
-    pieces = settled(rows.mapInArrow(tokenise(tokenizer or default_tokenizer(), most), f"{columns}, task int, turn long"), "pieces")
+    pieces = settled(rows.mapInArrow(lean(tokenise(tokenizer or default_tokenizer(), most)), f"{columns}, task int, turn long"), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     dealt = pieces.withColumn("bin_group", group_of(F.col("task"), F.col("turn"), groups)).drop("task", "turn")
-    packed = dealt.repartitionById(groups, F.col("bin_group")).mapInArrow(pack(most), f"{columns}, sequence_id long, offset long")
+    packed = dealt.repartitionById(groups, F.col("bin_group")).mapInArrow(lean(pack(most)), f"{columns}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import kernels as K
-from .common import type_of
+from .common import lean, type_of
 from .ngrams import code_points, counts, hashed, mean_weight
 from .sample import drawn
 
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if drawn_ is not None:
         picked, sizes = drawn_
         fold = F.pmod(F.xxhash64("draw", F.lit("fold")), F.lit(4)).cast("int")
-        rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(labelled, "label int, fold int, at binary, share binary").collect()  # within drawn()'s bound
+        rows = picked.select("label", fold.alias("fold"), "text").mapInArrow(lean(labelled), "label int, fold int, at binary, share binary").collect()  # within drawn()'s bound
     found = collections.Counter(int(r[0]) for r in rows)
     if len(found) < 2:
         warnings.warn("no labelled texts of both labels: only the base rules judge", stacklevel=2)
@@ -192,4 +192,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, {', '.join(f'{x} long' for x in names)}, base_failed boolean, kept boolean, p_good double"
-    return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(score), schema).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import keyed, settled, type_of
+from .common import keyed, lean, settled, type_of
 
 #: Perfect difference covers: each nonzero residue is one difference. Fixed values.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, _, firsts, hashes = K.word_hashes(data, offs)
         return anchors(hashes, firsts, width)[1:]
 
-    notes = X.deal(rows.select("k", "body").mapInArrow(send_hashes(parts, pick_anchors), X.PACKED), parts).mapInArrow(note_repeats(parts), X.PACKED)
+    notes = X.deal(rows.select("k", "body").mapInArrow(lean(send_hashes(parts, pick_anchors)), X.PACKED), parts).mapInArrow(lean(note_repeats(parts)), X.PACKED)
 
     first_schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, k long, body binary, spans binary"
 
@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     spans.append(X.pack([may[np.r_[0, cut + 1]].astype(np.int32), may[np.r_[cut, len(may) - 1]].astype(np.int32) + 1]))
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n_words, pa.int64()), pa.array(np.zeros(hi - lo, np.int64)), pa.array(shas, pa.string()), pa.array(keys[lo:hi]), pa.array(texts, pa.binary()), pa.array(spans, pa.binary())], names=["id", "n_words", "n_removed", "kept_sha256", "k", "body", "spans"])
 
-    tried = settled(X.with_notes(notes, rows, parts).mapInArrow(extend, first_schema), "substrings")
+    tried = settled(X.with_notes(notes, rows, parts).mapInArrow(lean(extend), first_schema), "substrings")
     suspects = tried.where(F.col("spans").isNotNull())
 
     def inside(spans: bytes) -> np.ndarray:
@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         doc = np.repeat(np.arange(hi - lo), [len(x) for x in places])
         return doc, long[np.concatenate(places) + firsts[doc]]
 
-    notes2 = X.deal(suspects.select("k", "body", "spans").mapInArrow(send_hashes(parts, pick_windows), X.PACKED), parts).mapInArrow(note_repeats(parts), X.PACKED)
+    notes2 = X.deal(suspects.select("k", "body", "spans").mapInArrow(lean(send_hashes(parts, pick_windows)), X.PACKED), parts).mapInArrow(lean(note_repeats(parts)), X.PACKED)
     final_schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary"
 
     def cut_out(batches):
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b"\n".join(stretches(raw, starts[a:b] - offs[d], ends[a:b] - offs[d], ~gone)) if keep_text else None)
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(np.diff(firsts), pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = X.with_notes(notes2, suspects.select("k", "id", "body"), parts).mapInArrow(cut_out, final_schema)
+    done = X.with_notes(notes2, suspects.select("k", "id", "body"), parts).mapInArrow(lean(cut_out), final_schema)
     clean = tried.where(F.col("spans").isNull()).select("id", "n_words", "n_removed", "kept_sha256", F.col("body").alias("kept"))
     out = clean.unionByName(done)
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import keyed, settled, type_of
+from .common import keyed, lean, settled, type_of
 from .substrings import Notes, note_repeats, send_hashes
 
 KMER = 32
@@ -385,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         doc, _, _, anchor = runs(data, offs, width)
         return doc, anchor
 
-    notes = X.deal(rows.select("k", "body").mapInArrow(send_hashes(parts, pick), X.PACKED), parts).mapInArrow(note_repeats(parts), X.PACKED)
+    notes = X.deal(rows.select("k", "body").mapInArrow(lean(send_hashes(parts, pick)), X.PACKED), parts).mapInArrow(lean(note_repeats(parts)), X.PACKED)
     schema = f"id {kind}, n_bytes long, kept_sha256 string, k long, body binary, noted binary"
 
     def suspect(batches):
@@ -402,9 +402,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 noted.append(X.pack([np.unique(mine)]) if len(mine) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(keys), pa.array(texts, pa.binary()), pa.array(noted, pa.binary())], names=["id", "n_bytes", "kept_sha256", "k", "body", "noted"])
 
-    tried = settled(X.with_notes(notes, rows, parts).mapInArrow(suspect, schema), "suffixes")
+    tried = settled(X.with_notes(notes, rows, parts).mapInArrow(lean(suspect), schema), "suffixes")
     suspects = tried.where(F.col("noted").isNotNull())
-    spans = X.deal(suspects.select("k", "body", "noted").mapInArrow(send_text(parts, width), X.PACKED), parts).mapInArrow(note_suffixes(parts, width), X.PACKED)
+    spans = X.deal(suspects.select("k", "body", "noted").mapInArrow(lean(send_text(parts, width)), X.PACKED), parts).mapInArrow(lean(note_suffixes(parts, width)), X.PACKED)
     final = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut_out(batches):
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left if keep_text else None)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, n_spans)), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = X.with_notes(spans, suspects.select("k", "id", "body"), parts).mapInArrow(cut_out, final)
+    done = X.with_notes(spans, suspects.select("k", "id", "body"), parts).mapInArrow(lean(cut_out), final)
     zero = F.lit(0).cast("long")
     clean = tried.where(F.col("noted").isNull()).select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     out = clean.unionByName(done)

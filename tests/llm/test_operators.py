@@ -1,6 +1,8 @@
+import bisect
 import collections
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -401,3 +403,38 @@ def test_kernels_on_random_bytes():
     for width in (1, 2, 5, 8, 13):
         one = kernels.windows(values, width)
         assert [one[i] == one[0] for i in range(len(one))] == [i % 3 == 0 for i in range(len(one))]
+
+
+def test_suffix_index_takes_bounded_memory_beside_its_levels():
+    rng, width = np.random.default_rng(5), 24
+
+    def level(n):
+        # one head for all, so that every suffix is sought by its text
+        data = np.frombuffer(b"".join(b"the head" + x.tobytes() for x in rng.integers(97, 101, (n, 16)).astype(np.uint8)), np.uint8)
+        texts, starts = suffixes.Texts(data, width), np.arange(n) * width
+        order, new = suffixes.suffix_array(texts, starts)
+        return suffixes.Level(texts, starts[order[new]], order[new])
+
+    def peak(call):
+        tracemalloc.start()
+        try:
+            return call(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    a, b = level(2000), level(400_000)
+    (place, equal), mb = peak(lambda: a.seek(b))
+    assert mb < 50  # 139 when all suffixes were compared at once
+    text = [[bytes(x.texts.data[i : i + width]) for i in x.starts] for x in (a, b)]
+    assert text[0] == sorted(text[0]) and text[1] == sorted(text[1])
+    assert place.tolist() == [bisect.bisect_left(text[0], t) for t in text[1]]
+    known = set(text[0])
+    assert equal.tolist() == [t in known for t in text[1]]
+    both = a.merged(b, place, equal)
+    assert [bytes(both.texts.data[i : i + width]) for i in both.starts] == sorted({*text[0], *text[1]})
+    pieces, n = suffixes.Pieces(width), 1000
+    one, other = (rng.integers(0, 256, n + width - 1).astype(np.uint8).tobytes() for _ in range(2))
+    codes = pieces.add(other + one * 4000, np.full(4001, n, np.uint32))
+    marks, mb = peak(lambda: pieces.marks(codes))
+    assert mb < 30  # 64 when the places of all suffixes were made at once
+    assert not marks[:n].any() and marks[n:].all() and len(marks) == 4001 * n

@@ -38,6 +38,13 @@ _PLACE_BITS = 31
 BATCH = 1 << 19
 #: Words of eight bytes that are compared at once.
 _BLOCK = 8
+#: Suffixes that are sought, or whose marks are read, at once: each takes a few hundred bytes meanwhile.
+_CHUNK = 1 << 16
+
+
+def narrow(places: np.ndarray, most: int) -> np.ndarray:
+    """Places below `most` in four bytes each where that holds them."""
+    return places.astype(np.int32 if most < 1 << 31 else np.int64, copy=False)
 
 
 def kmer_for(width: int) -> int:
@@ -90,7 +97,7 @@ class Texts:
 
     def block(self, at: np.ndarray, step: np.ndarray) -> np.ndarray:
         """_BLOCK words of each suffix from its step-th on; what lies beyond `width` is zero."""
-        out = self.words[np.minimum(at + 8 * step, len(self.words) - 1)].astype(K.U)
+        out = self.words[np.minimum(at + 8 * step, len(self.words) - 1)].byteswap(inplace=True).view(K.U)
         edge = np.flatnonzero(step + _BLOCK >= self.steps)
         out[edge] &= self.kept[step[edge]]
         return out
@@ -125,7 +132,9 @@ def suffix_array(texts: Texts, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if not len(at):
             break
         rows = texts.block(starts[order[at]], step[at])
-        differs = rows != rows[begin][own]
+        differs, heads = np.empty(rows.shape, bool), rows[begin]
+        for i in range(_BLOCK):  # a word at a time: a second table of the rows' size is never made
+            np.not_equal(rows[:, i], heads[:, i][own], out=differs[:, i])
         column = np.where(differs.any(axis=1), differs.argmax(axis=1), _BLOCK)
         least_ = np.minimum.reduceat(column, begin)
         step[at] += np.minimum(least_ + 1, _BLOCK)[own]
@@ -144,22 +153,25 @@ class Level:
     """Suffixes that differ from each other, in order of their text; refs tell which suffixes they are."""
 
     def __init__(self, texts: Texts, starts: np.ndarray, refs: np.ndarray):
-        self.texts, self.starts, self.refs = texts, starts, refs
+        self.texts, self.starts, self.refs = texts, narrow(starts, len(texts.data)), refs
         self.heads = texts.heads(starts)
 
     def seek(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of another level its place in this one, and whether an equal one is there: a binary search among those of one head."""
-        lo, hi = (np.searchsorted(self.heads, other.heads, side) for side in ("left", "right"))
-        equal = np.zeros(len(other.starts), bool)
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            middle = (lo[open_] + hi[open_]) // 2
-            sign = compare(self.texts, self.starts[middle], other.texts, other.starts[open_])
-            equal[open_[sign == 0]] = True
-            lo[open_] = np.where(sign < 0, middle + 1, np.where(sign == 0, middle, lo[open_]))
-            hi[open_] = np.where(sign < 0, hi[open_], middle)
-            open_ = open_[(lo[open_] < hi[open_]) & (sign != 0)]
-        return lo, equal
+        """For each suffix of another level its place in this one, and whether an equal one is there: a binary search among those of one head, _CHUNK suffixes at a time."""
+        places, equal = np.empty(len(other.starts), np.int64), np.zeros(len(other.starts), bool)
+        for i in range(0, len(places), _CHUNK):
+            heads, starts, found = (x[i : i + _CHUNK] for x in (other.heads, other.starts, equal))
+            lo, hi = (np.searchsorted(self.heads, heads, side) for side in ("left", "right"))
+            open_ = np.flatnonzero(lo < hi)
+            while len(open_):
+                middle = (lo[open_] + hi[open_]) // 2
+                sign = compare(self.texts, self.starts[middle], other.texts, starts[open_])
+                found[open_[sign == 0]] = True
+                lo[open_] = np.where(sign < 0, middle + 1, np.where(sign == 0, middle, lo[open_]))
+                hi[open_] = np.where(sign < 0, hi[open_], middle)
+                open_ = open_[(lo[open_] < hi[open_]) & (sign != 0)]
+            places[i : i + _CHUNK] = lo
+        return places, equal
 
     def merged(self, other: Level, place: np.ndarray, equal: np.ndarray) -> Level:
         """Both levels as one; of equal suffixes this one's stay."""
@@ -169,8 +181,8 @@ class Level:
         at = place[new] + np.arange(int(new.sum()))
         mine = np.ones(n + len(at), bool)
         mine[at] = False
-        starts, refs = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
-        starts[mine], starts[at] = self.starts, other.starts[new] + shift
+        starts, refs = narrow(np.zeros(len(mine), np.int8), len(texts.data)), np.zeros(len(mine), np.promote_types(self.refs.dtype, other.refs.dtype))
+        starts[mine], starts[at] = self.starts, other.starts[new].astype(np.int64) + shift
         refs[mine], refs[at] = self.refs, other.refs[new]
         return Level(texts, starts, refs)
 
@@ -208,7 +220,7 @@ class Levels:
         marks[order[same]] = marks[order[same - 1]] = True
         # the first of a run of equal suffixes stands for the others, which mark each other here
         run = np.cumsum(new) - 1
-        batch = Level(texts, starts[order[new]], order[new] + self.size)
+        batch = Level(texts, starts[order[new]], narrow(order[new] + self.size, self.size + len(starts)))
         self.again.append(marks)
         self.size += len(starts)
         bounds = np.cumsum([0, *map(len, self.again)])
@@ -332,8 +344,15 @@ class Pieces:
         first = np.cumsum(counts) - counts
         size = counts[codes]
         twice = np.bincount(codes, minlength=len(counts)) > 1
-        at = np.repeat(first[codes] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        return again[at] | np.repeat(twice[codes], size)
+        ends = np.cumsum(size)
+        out, i = np.empty(int(size.sum()), bool), 0
+        while i < len(codes):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + _CHUNK, "right")))
+            mine, n, begin = codes[i:j], size[i:j], ends[i:j] - size[i:j]
+            at = np.repeat(first[mine] - begin, n) + np.arange(begin[0], ends[j - 1])
+            out[begin[0] : ends[j - 1]] = again[at] | np.repeat(twice[mine], n)
+            i = j
+        return out
 
 
 def note_suffixes(parts: int, width: int):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.test_models import language_of
-from veilcheck.llm import language, mixing
+from veilcheck.llm import language, mixing, substrings
 from veilcheck.llm.common import settled
 
 DATA = "/root/testdata/sf0.001"
@@ -80,3 +80,14 @@ def test_registered_sql(spark):
         assert sorted(names) == columns
         key = lambda row: [(v is None, str(v)) for v in row]
         assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=key) == sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=key)
+
+
+def test_readers_hold_few_texts_at_once(spark, tmp_path):
+    key, own, path = "spark.sql.parquet.columnarReaderBatchSize", spark.newSession(), str(tmp_path / "texts")
+    own.conf.unset(key)
+    own.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text")).write.parquet(path)
+    assert substrings.remove_repeats(own.read.parquet(path)).count() == 3000
+    assert int(own.conf.get(key)) <= 256  # 4,096 texts before
+    own.conf.set(key, "1000")  # what a session sets stays
+    assert substrings.remove_repeats(own.read.parquet(path)).count() == 3000
+    assert own.conf.get(key) == "1000"
